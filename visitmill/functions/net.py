@@ -10,7 +10,7 @@ V4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 V4_TAIL = rf"^(.*:){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 EIGHT_GROUPS = r"^[0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}$"
 V4_HEAD = "00000000000000000000ffff"
-PRIVATE_V4 = (r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|224\.0\.0\.)")
+PRIVATE_V4 = r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|224\.0\.0\.)"
 
 
 def _col(value: Column | str) -> Column:
@@ -50,27 +50,39 @@ def _v4_hex(ip: Column) -> Column:
     return F.concat(*[_hex2(F.split_part(ip, F.lit("."), F.lit(i))) for i in (1, 2, 3, 4)])
 
 
-def _v6_text(ip: Column) -> Column:
-    """Eight colon-separated groups, or something that does not look like eight groups."""
-    text = F.lower(ip)
+def _let(value: Column, body) -> Column:
+    """``body`` applied to a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _dotted_tail(text: Column) -> Column:
+    """``::ffff:1.2.3.4`` -> ``::ffff:0102:0304``."""
     tail = [_hex2(F.regexp_extract(text, V4_TAIL, i)) for i in (2, 3, 4, 5)]
-    text = F.when(text.rlike(V4_TAIL), F.concat(F.regexp_extract(text, V4_TAIL, 1), tail[0], tail[1], F.lit(":"),
-                                                tail[2], tail[3])).otherwise(text)
+    joined = F.concat(F.regexp_extract(text, V4_TAIL, 1), tail[0], tail[1], F.lit(":"), tail[2], tail[3])
+    return F.when(text.rlike(V4_TAIL), joined).otherwise(text)
+
+
+def _fill(text: Column) -> Column:
+    """``::`` written out as groups of zeros; NULL where it would stand for none."""
     colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
     given = colons - F.when(text.startswith("::"), 1).otherwise(0) - F.when(text.endswith("::"), 1).otherwise(0)
     middle = F.concat(F.repeat(F.lit(":0"), F.greatest(F.lit(8) - given, F.lit(0)).cast("int")), F.lit(":"))
     filled = F.regexp_replace(F.replace(text, F.lit("::"), middle), r"^:|:$", "")
-    # "::" stands for at least one group.
     return F.when(~text.contains("::"), text).when(given < 8, filled)
 
 
+def _v6_key(ip: Column) -> Column:
+    def groups(text: Column) -> Column:
+        parts = [F.lpad(F.split_part(text, F.lit(":"), F.lit(i)), 4, "0") for i in range(1, 9)]
+        return F.when(text.rlike(EIGHT_GROUPS), F.concat(*parts))
+
+    return _let(_let(_dotted_tail(F.lower(ip)), _fill), groups)
+
+
 def ip_key(ip: Column | str) -> Column:
     """32 hex digits that sort like the address (v4 as mapped v6); NULL for anything else."""
     ip = _col(ip)
-    v6 = _v6_text(ip)
-    groups = [F.lpad(F.split_part(v6, F.lit(":"), F.lit(i)), 4, "0") for i in range(1, 9)]
-    return (F.when(is_v4(ip), F.concat(F.lit(V4_HEAD), _v4_hex(ip)))
-            .when(v6.rlike(EIGHT_GROUPS), F.concat(*groups)))
+    return F.when(is_v4(ip), F.concat(F.lit(V4_HEAD), _v4_hex(ip))).when(ip.contains(":"), _v6_key(ip))
 
 
 def is_private_key(key: Column) -> Column:
@@ -84,5 +96,7 @@ def is_private_key(key: Column) -> Column:
 
 def is_private_ip(ip: Column | str) -> Column:
     """Loopback, link-local, private v4 blocks and fc00::/7; text that is no address is not private."""
-    ip = _col(ip)
-    return F.when(is_v4(ip), ip.rlike(PRIVATE_V4)).when(ip.contains(":"), is_private_key(ip_key(ip))).otherwise(False)
+    def rule(text: Column) -> Column:
+        return F.when(is_v4(text), text.rlike(PRIVATE_V4)).when(
+            text.contains(":"), _let(ip_key(text), is_private_key)).otherwise(False)
+    return _let(_col(ip), rule)

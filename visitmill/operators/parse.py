@@ -287,7 +287,7 @@ def parse_lines(lines: DataFrame, made: LineFormat, *, line: str = "value", now:
         cutoff = epoch(now or wall_clock()) - retention_days * 86400
         reason = reason.when(F.col("timestamp") < cutoff, "expired")
     carried = [c for c in keep if c not in ("domestic", "global")]
-    out = made_rows.select(
+    record = [
         *carried, line, "timestamp", "ip", "method", "url", "status_code", "bytes_sent", "request_length",
         "request_time_ms", "upstream_response_time_ms", "upstream_addr", "host", "request_id", "referer",
         F.col("_agent.browser").alias("browser"), F.col("_agent.os").alias("os"),
@@ -295,8 +295,10 @@ def parse_lines(lines: DataFrame, made: LineFormat, *, line: str = "value", now:
         *pending_location("ip"),
         pageview_flag("status_code", "url", "ip", rules).alias("pageview_flag"),
         reason.alias("parse_error"),
-    )
-    return out
+    ]
+    # Rows leave through a one-element array. A filter on the record, such as "no error", would otherwise be
+    # pushed below every step above, which writes the whole parse into the filter and runs it several times.
+    return made_rows.select(F.inline(F.array(F.struct(*record))))
 
 
 def good_rows(parsed: DataFrame, line: str = "value") -> DataFrame:

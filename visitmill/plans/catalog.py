@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from visitmill.plans import parse_queries, stat_queries
+from visitmill.plans import geo_queries, parse_queries, stat_queries
 from visitmill.plans.registry import Query, Registry
 
 
 def _all() -> Registry:
     everything = Registry()
-    for part in (stat_queries, parse_queries):
+    for part in (stat_queries, parse_queries, geo_queries):
         everything.update(part.REG)
     return everything
 

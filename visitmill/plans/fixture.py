@@ -61,9 +61,9 @@ FROM (
 """
 
 
-def log_sql() -> str:
+def log_sql(ips: int = IP_COUNT) -> str:
     """The projection as DuckDB text, for oracle queries."""
-    return PROJECTION.format(epoch=DUCK_EPOCH, ips=IP_COUNT, source="events", extra="").strip()
+    return PROJECTION.format(epoch=DUCK_EPOCH, ips=ips, source="events", extra="").strip()
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

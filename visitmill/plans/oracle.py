@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitmill.plans.fixture import log_sql
+from visitmill.plans.fixture import IP_COUNT, log_sql
 
 DAY = "CAST(make_timestamp({0} * 1000000) AS DATE)"
 HOUR = "({0} // 3600) * 3600"
@@ -50,9 +50,9 @@ TABLES = {
 }
 
 
-def over_log(body: str, *ctes: str) -> str:
+def over_log(body: str, *ctes: str, ips: int = IP_COUNT) -> str:
     """``body`` over the access log and the named helper tables; other texts are taken as CTEs."""
-    parts = [f"access_log AS ({log_sql()})"]
+    parts = [f"access_log AS ({log_sql(ips)})"]
     names = list(ctes)
     if any(n in ("session_daily", "entry_daily") for n in names) and "sessions" not in names:
         names.insert(0, "sessions")

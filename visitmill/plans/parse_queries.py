@@ -62,8 +62,8 @@ LINES = {
                      "':51000 ['", "{clf}", "'.123] http-in backend/srv 0/0/1/2/3 '", _s("status_code"), "' '",
                      _s("bytes_sent"), "' - - ---- 1/1/1/1/0 0/0 \"'", REQ, "'\"'"),
     "nginx-ingress": _join(*_CLF, "' '", _s("request_length"), "' 0.'", f"lpad({_s('request_time_ms')}, 4, '0')",
-                           "' [backend] [] '", _UP, "', 10.1.9.9:80 512, 0 '",
-                           f"{_s('upstream_response_time_ms')}", "'ms, - 200, 502 '", "request_id"),
+                           "' [backend] [] '", _UP, "',10.1.9.9:80 512,0 '",
+                           f"{_s('upstream_response_time_ms')}", "'ms,- 200,502 '", "request_id"),
     "iis": _join("{iis}", "' 10.0.0.10 '", "method", "' '", "url", "' '",
                  "CASE WHEN status_code = 200 THEN concat('a=1&n=', " + _s("id") + ") ELSE '-' END",
                  "' 443 - '", "ip", "' '", f"replace({AGENT}, ' ', '+')", "' '",
@@ -110,7 +110,9 @@ def lines_sql(name: str, words: dict[str, str], source: str = "access_log") -> s
 
 
 def lines_of(log, name):
-    return log.sparkSession.sql(lines_sql(name, SPARK, "{log}"), log=log)
+    # Braces of JSON lines are doubled, since the text is formatted once more to name the frame.
+    text = lines_sql(name, SPARK, "").replace("{", "{{").replace("}", "}}")
+    return log.sparkSession.sql(text + "{log}", log=log)
 
 
 def parsed(log, name, **options):
@@ -143,8 +145,8 @@ EXPECTED = {
     "nginx-ingress": {**_own("request_length", "upstream_response_time_ms", "request_id"),
                       "request_time_ms": "CAST(trunc(CAST(concat('0.', lpad(CAST(request_time_ms AS VARCHAR), 4, '0')) "
                                          "AS DOUBLE) * 1000) AS BIGINT)",
-                      "upstream_addr": "concat(upstream_addr, ', 10.1.9.9:80')"},
-    "iis": {"url": IIS_URL, "pageview_flag": IIS_FLAG, "referer": "CASE WHEN referer = '' THEN '-' ELSE referer END"},
+                      "upstream_addr": "concat(upstream_addr, ',10.1.9.9:80')"},
+    "iis": {"bytes_sent": "CAST(0 AS BIGINT)", "url": IIS_URL, "pageview_flag": IIS_FLAG, "referer": "CASE WHEN referer = '' THEN '-' ELSE referer END"},
     "npm": _own("upstream_addr", "host"),
     "safeline": _own("host"),
     "caddy": {**_own("upstream_response_time_ms", "upstream_addr", "host", "request_id"),
@@ -359,11 +361,11 @@ q("pageview_flag", _flags,
 
 
 def _batches(log):
-    """Lines of an hour in one batch; every line of a third of the rows is sent twice."""
-    lines = lines_of(log, "nginx").join(log.select("id", "timestamp"), "id")
+    """A hundred neighbouring lines per batch; every line of a third of the rows is sent twice."""
+    lines = lines_of(log, "nginx")
     twice = lines.withColumn("n", F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit(1), F.lit(2)))
                                             .otherwise(F.array(F.lit(1)))))
-    return twice.groupBy(F.expr("timestamp div 3600").alias("hour")).agg(F.collect_list("line").alias("lines")).select(
+    return twice.groupBy(F.expr("id div 100").alias("batch")).agg(F.collect_list("line").alias("lines")).select(
         F.lit("a1b2").alias("website_id"), F.lit("push").alias("source_id"), "lines")
 
 
