@@ -16,8 +16,8 @@ from visitmill.plans.clock import Period, between, in_days, in_period, positive
 from visitmill.schema import PAGE_SIZE_MAX, SESSION_GAP, VISITOR, scope
 
 
-def _slots(log: DataFrame, gap: int, details: bool) -> DataFrame:
-    views = pageviews(log)
+def slot_rows(log: DataFrame, gap: int = SESSION_GAP, details: bool = True) -> DataFrame:
+    """Page views folded into (visitor, slot). Rows of several logs can be merged with ``merge_slots``."""
     slot = (F.col("timestamp") - F.pmod(F.col("timestamp"), F.lit(gap))).alias("slot")
     order = F.struct("timestamp", "id")
     measures = [
@@ -26,48 +26,59 @@ def _slots(log: DataFrame, gap: int, details: bool) -> DataFrame:
         F.count("*").alias("pages"),
     ]
     if details:
+        # The order travels with the page, so that partial slots can be merged later.
         measures += [
-            F.min_by(F.struct("url", "domestic", "global"), order).alias("entry"),
-            F.max_by("url", order).alias("exit"),
+            F.min_by(F.struct("timestamp", "id", "url", "domestic", "global"), order).alias("entry"),
+            F.max_by(F.struct("timestamp", "id", "url"), order).alias("exit"),
         ]
-    return views.groupBy(*scope(log, *VISITOR), slot).agg(*measures)
+    return pageviews(log).groupBy(*scope(log, *VISITOR), slot).agg(*measures)
 
 
-def _joined(log: DataFrame, gap: int, details: bool) -> DataFrame:
-    keys = scope(log, *VISITOR)
+def merge_slots(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*scope(parts, *VISITOR), "slot").agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("pages").alias("pages"),
+        F.min_by("entry", F.struct("entry.timestamp", "entry.id")).alias("entry"),
+        F.max_by("exit", F.struct("exit.timestamp", "exit.id")).alias("exit"))
+
+
+def _joined(slots: DataFrame, gap: int, details: bool) -> DataFrame:
+    keys = scope(slots, *VISITOR)
     by_time = Window.partitionBy(*keys).orderBy("slot")
     before = F.lag("last_ts").over(by_time)
     starts = F.when(before.isNull() | (F.col("first_ts") - before > gap), 1).otherwise(0)
     running = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (_slots(log, gap, details).withColumn("starts", starts)
-                .withColumn("session_no", F.sum("starts").over(running)))
+    numbered = slots.withColumn("starts", starts).withColumn("session_no", F.sum("starts").over(running))
     measures = [
         F.min("first_ts").alias("start_ts"),
         F.max("last_ts").alias("end_ts"),
         F.sum("pages").alias("page_count"),
     ]
     if details:
-        measures += [F.min_by("entry", "slot").alias("entry"), F.max_by("exit", "slot").alias("exit_url")]
+        measures += [F.min_by("entry", "slot").alias("entry"), F.max_by("exit", "slot").alias("exit")]
     return numbered.groupBy(*keys, "session_no").agg(*measures)
 
 
-def sessionize(log: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
-    """One row per session with its first location, entry and exit page."""
-    return _joined(log, gap, details=True).select(
-        *scope(log, *VISITOR),
+def sessions_of_slots(slots: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
+    return _joined(slots, gap, details=True).select(
+        *scope(slots, *VISITOR),
         F.col("entry.domestic").alias("domestic"),
         F.col("entry.global").alias("global"),
         "start_ts",
         "end_ts",
         F.col("entry.url").alias("entry_url"),
-        "exit_url",
+        F.col("exit.url").alias("exit_url"),
         "page_count",
     )
 
 
+def sessionize(log: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
+    """One row per session with its first location, entry and exit page."""
+    return sessions_of_slots(slot_rows(log, gap), gap)
+
+
 def session_bounds(log: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
     """Sessions without pages and locations: fixed-width buffers only, so it stays in hash aggregation."""
-    return _joined(log, gap, details=False).drop("session_no")
+    return _joined(slot_rows(log, gap, details=False), gap, details=False).drop("session_no")
 
 
 def session_window_agg(log: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
@@ -75,7 +86,7 @@ def session_window_agg(log: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
     keys = scope(log, *VISITOR)
     span = (F.col("last_ts") - F.col("first_ts") + gap).cast("string")
     window = F.session_window(F.timestamp_seconds("first_ts"), F.concat(span, F.lit(" seconds")))
-    runs = _slots(log, gap, details=False).groupBy(*keys, window.alias("run")).agg(
+    runs = slot_rows(log, gap, details=False).groupBy(*keys, window.alias("run")).agg(
         F.sum("pages").alias("pages"), (F.max("last_ts") - F.min("first_ts")).alias("length"))
     return runs.groupBy(*keys).agg(
         F.count("*").alias("sessions"), F.sum("pages").alias("pages"), F.sum("length").alias("total_length"))

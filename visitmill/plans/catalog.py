@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from visitmill.plans import geo_queries, parse_queries, stat_queries, table_queries
+from visitmill.plans import flow_queries, geo_queries, parse_queries, stat_queries, table_queries
 from visitmill.plans.registry import Query, Registry
 
 
 def _all() -> Registry:
     everything = Registry()
-    for part in (stat_queries, parse_queries, geo_queries, table_queries):
+    for part in (stat_queries, parse_queries, geo_queries, table_queries, flow_queries):
         everything.update(part.REG)
     return everything
 

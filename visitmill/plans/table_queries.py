@@ -285,9 +285,11 @@ _BATCH_NOW, _BATCH_BEFORE = (_BATCH.replace("FROM pv", f"FROM {n}") for n in ("p
 q("source_ip_rows", lambda log: rp.source_ip_rows(st.referer_ip_batch(log, NOW_P), st.referer_ip_batch(log, BEFORE_P)),
   f"""SELECT kind, ip, hits AS current, ph AS previous, hits - ph AS delta, {rate('hits', 'ph')} AS rate, share,
   CASE WHEN "global" <> domestic THEN concat("global", ' · ', domestic) ELSE domestic END AS region FROM (
-  SELECT c.*, coalesce(p.hits, 0) AS ph FROM ({_BATCH_NOW}) c LEFT JOIN ({_BATCH_BEFORE}) p ON p.kind = c.kind AND p.ip = c.ip)""",
+  SELECT c.*, coalesce(p.hits, 0) AS ph FROM top_now c LEFT JOIN top_before p ON p.kind = c.kind AND p.ip = c.ip)""",
   f"pv_now AS (SELECT * FROM access_log WHERE pageview_flag = 1 AND {S_NOW})",
-  f"pv_before AS (SELECT * FROM access_log WHERE pageview_flag = 1 AND {S_BEFORE_DAY})")
+  f"pv_before AS (SELECT * FROM access_log WHERE pageview_flag = 1 AND {S_BEFORE_DAY})",
+  # Materialised, since DuckDB otherwise applies the join's filter before it ranks.
+  f"top_now AS MATERIALIZED ({_BATCH_NOW})", f"top_before AS MATERIALIZED ({_BATCH_BEFORE})")
 q("visitor_split", lambda log: rp.visitor_split(ov.Tables.of(log), DAY),
   f"""SELECT visitor, visitors, CASE WHEN whole > 0 THEN CAST(visitors AS DOUBLE) / whole ELSE 0.0 END AS share,
   {rate('visitors', 'past')} AS rate, CAST(c.duration AS BIGINT) AS avg_duration_seconds, c.pv / c.uv AS pv_per_visitor
