@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitmill.operators.shared import page, pageviews, share
+from visitmill.operators.shared import lookup, page, pageviews, share
 from visitmill.plans.clock import Period, between, in_days, in_period, positive
 from visitmill.schema import PAGE_SIZE_MAX, SESSION_GAP, VISITOR, scope
 
@@ -112,17 +112,11 @@ def merge_sessions(old_log: DataFrame, new_log: DataFrame, old_sessions: DataFra
     kept = marked.filter(closed).drop("since")
     # The earliest start of a reopened session says how far back old rows are needed.
     reach = marked.filter(~closed).groupBy(*keys).agg(F.min("start_ts").alias("since"))
-    old_views = _spread_join(pageviews(old_log), reach, keys).filter(F.col("timestamp") >= F.col("since"))
+    old_views = lookup(pageviews(old_log), reach, keys, "inner").filter(F.col("timestamp") >= F.col("since"))
     both = old_views.drop("since").unionByName(pageviews(new_log))
     return kept.unionByName(sessionize(both, gap))
 
 
-def _spread_join(rows: DataFrame, table: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
-
-
 # ---- session statistics -----------------------------------------------------------------------------------------
 
 def metrics_from_aggregates(session_daily: DataFrame, entry_daily: DataFrame, when: Period) -> DataFrame:

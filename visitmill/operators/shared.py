@@ -7,24 +7,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
+HOT_SHARE = 1000
 
 
 def pageviews(log: DataFrame) -> DataFrame:
     return log.filter(F.col("pageview_flag") == 1)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = SALTS,
-           spread: str = "id") -> DataFrame:
-    """Join many rows with a table that holds one row per ``key``.
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], how: str = "left",
+           spread: str = "id", count_over: DataFrame | None = None) -> DataFrame:
+    """Join many rows with a table that holds one row per ``key``, whatever share of the rows a key has.
 
-    One key may own a third of ``rows``: each key is spread over ``salts`` shuffle groups by a hash of the
-    row's own id, and the one-row side is repeated that many times. No size is assumed for ``table``; adaptive
-    execution turns the join into a broadcast by itself when the measured side is small.
+    Keys that own more than 1/1000 of the rows are hot; there are fewer than a thousand of them, so their table rows
+    can be broadcast, and hot rows never meet in one task: for the shuffle of the others they get a key made from
+    their own id, which spreads them evenly and matches nothing. Keys must be texts and not NULL. Lookups in a row
+    should count their keys over the first frame (``count_over``), so that the steps between are not run for it.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+    keys = [key] if isinstance(key, str) else key
+    values = [c for c in table.columns if c not in keys]
+    counts = (rows if count_over is None else count_over).groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("n")).scalar()
+    hot_keys = counts.filter(F.col("_n") * HOT_SHARE > total).select(*keys)
+    found = table.join(F.broadcast(hot_keys), keys, "left_semi")
+    held = found.select(*keys, F.struct(*values).alias("_held"))
+    hot = hot_keys.join(F.broadcast(held), keys, "left").select(*keys, "_held", F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    is_hot = F.col("_hot").isNotNull()
+    apart = F.when(is_hot, F.concat(F.lit("\0"), F.hex(F.xxhash64(spread)))).otherwise(F.col(keys[0]))
+    left = marked.withColumns({"_k0": apart, **{f"_k{i}": F.col(k) for i, k in enumerate(keys) if i}})
+    right = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_cold"))
+    both = left.join(right, [f"_k{i}" for i in range(len(keys))], "left")
+    both = both.withColumn("_v", F.coalesce("_held", "_cold"))
+    if how == "inner":
+        both = both.filter(F.col("_v").isNotNull())
+    return both.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

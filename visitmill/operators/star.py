@@ -50,7 +50,7 @@ def denormalize(facts: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Facts with their values again; rows without a dimension row are dropped, as in any inner join."""
     out = facts
     for name in DIMENSIONS:
-        out = lookup(out, dims[name], f"{name}_id", "inner").drop(f"{name}_id")
+        out = lookup(out, dims[name], f"{name}_id", "inner", count_over=facts).drop(f"{name}_id")
     return out
 
 
