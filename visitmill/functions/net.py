@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from visitmill.functions.bind import let
+
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 V4_TAIL = rf"^(.*:){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
@@ -22,8 +24,7 @@ def normalize_ip(raw: Column | str) -> Column:
     first = F.trim(F.split_part(F.trim(_col(raw)), F.lit(","), F.lit(1)))
     inside = F.regexp_extract(first, r"^\[([^\]]*)\]", 1)
     colons = F.length(first) - F.length(F.replace(first, F.lit(":"), F.lit("")))
-    return (F.when(first.rlike(r"^\[[^\]]*\]"), inside)
-            .when(first.startswith("["), first)
+    return (F.when(first.startswith("["), F.when(first.contains("]"), inside).otherwise(first))
             .when((colons == 1) & first.contains("."), F.split_part(first, F.lit(":"), F.lit(1)))
             .otherwise(first))
 
@@ -50,11 +51,6 @@ def _v4_hex(ip: Column) -> Column:
     return F.concat(*[_hex2(F.split_part(ip, F.lit("."), F.lit(i))) for i in (1, 2, 3, 4)])
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` applied to a value that is computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _dotted_tail(text: Column) -> Column:
     """``::ffff:1.2.3.4`` -> ``::ffff:0102:0304``."""
     tail = [_hex2(F.regexp_extract(text, V4_TAIL, i)) for i in (2, 3, 4, 5)]
@@ -76,7 +72,7 @@ def _v6_key(ip: Column) -> Column:
         parts = [F.lpad(F.split_part(text, F.lit(":"), F.lit(i)), 4, "0") for i in range(1, 9)]
         return F.when(text.rlike(EIGHT_GROUPS), F.concat(*parts))
 
-    return _let(_let(_dotted_tail(F.lower(ip)), _fill), groups)
+    return let(let(_dotted_tail(F.lower(ip)), _fill), groups)
 
 
 def ip_key(ip: Column | str) -> Column:
@@ -98,5 +94,5 @@ def is_private_ip(ip: Column | str) -> Column:
     """Loopback, link-local, private v4 blocks and fc00::/7; text that is no address is not private."""
     def rule(text: Column) -> Column:
         return F.when(is_v4(text), text.rlike(PRIVATE_V4)).when(
-            text.contains(":"), _let(ip_key(text), is_private_key)).otherwise(False)
-    return _let(_col(ip), rule)
+            text.contains(":"), let(ip_key(text), is_private_key)).otherwise(False)
+    return let(_col(ip), rule)

@@ -31,7 +31,7 @@ def parse_int(raw: Column | str) -> Column:
 def decode_url(raw: Column | str) -> Column:
     """Percent-decoding with ``+`` as space; text with a broken escape stays as it is."""
     raw = _col(raw)
-    return F.coalesce(F.try_url_decode(raw), raw)
+    return F.when(raw.contains("%") | raw.contains("+"), F.coalesce(F.try_url_decode(raw), raw)).otherwise(raw)
 
 
 def append_query(url: Column | str, query: Column | str) -> Column:

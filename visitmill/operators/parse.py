@@ -298,7 +298,8 @@ def parse_lines(lines: DataFrame, made: LineFormat, *, line: str = "value", now:
     ]
     # Rows leave through a one-element array. A filter on the record, such as "no error", would otherwise be
     # pushed below every step above, which writes the whole parse into the filter and runs it several times.
-    return made_rows.select(F.inline(F.array(F.struct(*record))))
+    rows = made_rows.select(*record)
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def good_rows(parsed: DataFrame, line: str = "value") -> DataFrame:
