@@ -1,7 +1,7 @@
 """Headline queries on the test data; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose data and cores. Every query runs once to
-warm up and then BENCH_RUNS times (default 3); the median is reported. Results are written to Spark's no-op sink, so
+warm up and then BENCH_RUNS times (default 1); the median is reported. Results are written to Spark's no-op sink, so
 every row and column is computed.
 """
 
@@ -34,7 +34,7 @@ def run(query, spark, sf_dir) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session(cpus=cpus, memory="16g", shuffle=cpus)
     queries = catalog.queries()
     seconds = {}

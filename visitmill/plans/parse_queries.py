@@ -112,7 +112,8 @@ def lines_sql(name: str, words: dict[str, str], source: str = "access_log") -> s
 def lines_of(log, name):
     # Braces of JSON lines are doubled, since the text is formatted once more to name the frame.
     text = lines_sql(name, SPARK, "").replace("{", "{{").replace("}", "}}")
-    return log.sparkSession.sql(text + "{log}", log=log)
+    # Lines come in many files; here they are dealt out over the tasks once they are made.
+    return log.sparkSession.sql(text + "{log}", log=log).repartition("id")
 
 
 def parsed(log, name, **options):
