@@ -5,8 +5,9 @@ from compare import compare, duck
 from conftest import SF
 
 import __spark_entry__ as entry
+from visitmill.plans import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,5 +25,9 @@ def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
 
 
+def test_entry_registers_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["key", "pv", "uv", "pv_percent", "uv_percent"]
