@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space as the contracts mean it: blank and \\t \\n \\v \\f \\r.
@@ -90,6 +91,11 @@ class Words:
         first = first[self.doc[:count] == self.doc[n - 1: n - 1 + count]]
         return first, mix(_ranged(self.hash, first, first + n))
 
+    def windows_all(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for every run of n words, also across texts."""
+        first = np.arange(max(0, len(self.hash) - n + 1))
+        return first, mix(_ranged(self.hash, first, first + n))
+
 
 def words(texts: pa.Array) -> Words:
     """Words (runs without white space) of a string array; null counts as empty."""
@@ -115,7 +121,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     """The same rows in batches of about ``size`` bytes of text; one longer text stands alone."""
     for batch in batches:
         texts = batch.column(column)
-        lengths = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
         group = np.cumsum(lengths) // size if len(lengths) else lengths
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
