@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitmill.llm import bpe, exact_dedup, line_dedup
+from visitmill.llm import bpe, exact_dedup, line_dedup, ngram_join, substring_dedup
 from visitmill.llm.shared import scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     buckets = max(8, -(-docs.count() // 1_000_000))
@@ -33,6 +37,11 @@ WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
     tokens = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -65,7 +74,9 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
 }
