@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitmill.llm import bpe, exact_dedup, line_dedup, ngram_join, substring_dedup
+from visitmill.llm import bpe, exact_dedup, lang_id, line_dedup, mixing, ngram_join, substring_dedup
 from visitmill.llm.shared import scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,21 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Share of the tokens that each domain is to have.
+TARGETS = {"good": 0.95, "low": 0.04, "toxic": 0.01}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labels table; rows without a judgement are left out."""
+    return labels.select("doc_id", F.expr(
+        "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' WHEN quality = 1 THEN 'good' END").alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, domains(_table(spark, sf_dir, "labels")), TARGETS).drop("tag")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs).select(
@@ -73,11 +88,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = lang_id.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out).select("text", "lang"))
+    return lang_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 SQL = {"op4_exact_dedup": OP4_SQL.strip(), "op8_line_dedup": OP8_SQL.strip()}
