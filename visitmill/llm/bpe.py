@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,27 @@ GROUP = 200_000
 CHUNKS = "chunk long, doc_ids array<long>, lengths array<int>, codes binary, words array<string>"
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane, compressed: most of them are small."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _open(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).reshape(-1)
+
+
+def _squeeze_words(own: pa.Array) -> tuple[bytes, bytes]:
+    raw = [w.encode() for w in own.to_pylist()]
+    return _squeeze(np.array([len(w) for w in raw], np.int32)), zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+
+
+def _open_words(lengths: bytes, packed: bytes) -> pa.Array:
+    size = _open(lengths)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(zstandard.ZstdDecompressor().decompress(packed)))
+
+
 def read_ranks(path: str) -> bytes:
     """The rank file, read by the driver; its size does not depend on the data."""
     return Path(path).read_bytes()
@@ -64,7 +86,7 @@ def _chunks(pattern: str):
                 pa.array([(part << 32) + number]),
                 pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")),
                 pa.array([lengths], pa.list_(pa.int32())),
-                pa.array([np.concatenate(codes).tobytes()], pa.binary()),
+                pa.array([_squeeze(np.concatenate(codes))], pa.binary()),
                 pa.array([list(seen)], pa.list_(pa.string())),
             ], ["chunk", "doc_ids", "lengths", "codes", "words"])
     return task
@@ -81,29 +103,30 @@ def _deal(groups: int):
                 group = (pd.util.hash_array(own.to_numpy(zero_copy_only=False), categorize=False) % groups).astype(np.int64)
                 order = np.argsort(group, kind="stable")
                 filled, first = np.unique(group[order], return_index=True)
-                offsets = pa.array(np.append(first, len(order)), pa.int32())
+                parts = np.split(order, first[1:])
+                packed = [_squeeze_words(own.take(pa.array(p))) for p in parts]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(filled), pa.array(np.full(len(filled), chunk, dtype=np.int64)),
-                    pa.ListArray.from_arrays(offsets, pa.array(order, pa.int32())),
-                    pa.ListArray.from_arrays(offsets, own.take(pa.array(order))),
-                ], ["grp", "chunk", "codes", "words"])
+                    pa.array([_squeeze(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+                    pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary()),
+                ], ["grp", "chunk", "codes", "lengths", "words"])
     return task
 
 
 def _encode(ranks, pattern: str):
     def task(table: pa.Table) -> pa.Table:
         encode = _encoding(ranks.value, pattern).encode_ordinary
-        words = table["words"].combine_chunks().flatten().dictionary_encode()
+        parts = [_open_words(*x) for x in zip(table["lengths"].to_pylist(), table["words"].to_pylist())]
+        words = pa.concat_arrays(parts).dictionary_encode()
         each = [encode(w) for w in words.dictionary.to_pylist()]
         size = np.array([len(x) for x in each], dtype=np.int32)
         start = np.cumsum(size) - size
         flat = np.fromiter((i for x in each for i in x), np.int32, int(size.sum()))
         at = words.indices.to_numpy()
-        rows = table["words"].combine_chunks().value_lengths().to_numpy()
         ids, sizes = [], []
-        for part in np.split(at, np.cumsum(rows)[:-1]):
-            sizes.append(size[part].tobytes())
-            ids.append(flat[_gather(start[part], size[part])].tobytes())
+        for part in np.split(at, np.cumsum([len(p) for p in parts])[:-1]):
+            sizes.append(_squeeze(size[part]))
+            ids.append(_squeeze(flat[_gather(start[part], size[part])]))
         return pa.table({"chunk": table["chunk"], "codes": table["codes"],
                          "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
     return task
@@ -118,11 +141,11 @@ def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _assemble(layout: pa.Table, encoded: pa.Table) -> pa.Table:
     """The ids of each text of one chunk, in the order of its word positions."""
     row = layout.slice(0, 1)
-    codes = np.frombuffer(row["codes"][0].as_py(), np.int32)
+    codes = _open(row["codes"][0].as_py())
     lengths = np.array(row["lengths"][0].as_py(), dtype=np.int64)
-    join = lambda name: np.frombuffer(b"".join(encoded[name].to_pylist()), np.int32)
-    words = encoded["codes"].combine_chunks().flatten().to_numpy() if len(encoded) else np.zeros(0, np.int32)
-    sizes, ids = join("sizes"), join("ids")
+    none = [np.zeros(0, np.int32)]
+    words = np.concatenate([np.cumsum(_open(x)) for x in encoded["codes"].to_pylist()] or none)
+    sizes, ids = (np.concatenate([_open(x) for x in encoded[name].to_pylist()] or none) for name in ("sizes", "ids"))
     size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     size[words] = sizes
     start[words] = np.cumsum(sizes) - sizes
@@ -144,8 +167,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     (chunks.write.option("path", f"{path}/chunks").option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name))
     layout = spark.table(name)
     groups = layout.agg(F.sum(F.size("words"))).first()[0] or 0
-    encoded = (layout.select("chunk", "words").mapInArrow(_deal(max(1, -(-groups // GROUP))), "grp long, chunk long, codes array<int>, words array<string>")
-               .groupBy("grp").applyInArrow(_encode(shared, pattern), "chunk long, codes array<int>, sizes binary, ids binary"))
+    encoded = (layout.select("chunk", "words").mapInArrow(_deal(max(1, -(-groups // GROUP))), "grp long, chunk long, codes binary, lengths binary, words binary")
+               .groupBy("grp").applyInArrow(_encode(shared, pattern), "chunk long, codes binary, sizes binary, ids binary"))
     return (layout.drop("words").groupBy("chunk").cogroup(encoded.groupBy("chunk"))
             .applyInArrow(_assemble, "doc_id long, ids array<int>"))
 
