@@ -80,7 +80,7 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for batch in pieces(batches):
+    for batch in pieces(batches, rows=256):
         counts, _ = ngram_counts(batch.column("text").to_pylist())
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         for lang in set(langs):
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     own = docs.drop(*RESULT).withColumn("text", F.col("text").cast("string"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, rows=256):
             names, score, unsure = decode(shared.value, *ngram_counts(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(unsure)],
                                              [*batch.schema.names, *RESULT])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space as the contracts mean it: blank and \\t \\n \\v \\f \\r.
 SPACE = r"[\x20\x09-\x0D]"
 #: Text held by one step of a task, in bytes; a longer document is handled alone.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -117,13 +117,13 @@ def words(texts: pa.Array) -> Words:
     return Words(raw.tobytes(), start, end, doc, mix(_ranged(_BYTE[raw], start, end)), len(texts))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``size`` bytes of text; one longer text stands alone."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text and at most ``rows`` rows; one longer text stands alone."""
     for batch in batches:
         texts = batch.column(column)
         lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
         group = np.cumsum(lengths) // size if len(lengths) else lengths
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        cuts = sorted({0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), *range(0, batch.num_rows, rows), batch.num_rows})
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)

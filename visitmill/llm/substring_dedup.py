@@ -29,6 +29,8 @@ GRAM = 4
 #: Different strings of one minimiser that a task holds at once.
 MANY = 20_000
 NULL_ID = -(1 << 63)
+#: Bytes of strings that wait to be compressed together.
+BLOCK = 24 << 20
 
 BLOCKS = pa.schema([("p", pa.int64()), ("block", pa.binary())])
 STRINGS = pa.schema([("mini", pa.int64()), ("text", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32())])
@@ -45,10 +47,24 @@ def _tag(text: str | None) -> int:
     return xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
 
 
+def _blocks(waiting: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """One compressed block for each bucket: numbers of all strings, then their text."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    while waiting:
+        out: dict[str, list] = {"p": [], "block": []}
+        for bucket in list(waiting)[:256]:
+            *numbers, texts = zip(*waiting.pop(bucket))
+            count = np.int64(sum(len(x) for x in numbers[0])).tobytes()
+            out["p"].append(bucket)
+            out["block"].append(squeeze(b"".join([count, *[np.concatenate(x).tobytes() for x in numbers], *texts])))
+        yield arrow(out, BLOCKS)
+
+
 def _cut(width: int, buckets: int):
     """Blocks of packed strings, one per bucket that the texts at hand touch."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        waiting: dict[int, list[tuple]] = {}
+        held = 0
         for batch in pieces(batches):
             found = words(plain(batch.column("text")))
             first, _ = found.windows(width)
@@ -70,13 +86,17 @@ def _cut(width: int, buckets: int):
             bucket = (mini % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.append(np.unique(bucket[order], return_index=True)[1], len(order))
-            rows, data = [], found.data
+            data = found.data
             for a, b in zip(cuts, cuts[1:]):
                 own = order[a:b]
-                rows.append(squeeze(b"".join([
-                    np.int64(len(own)).tobytes(), mini[own].tobytes(), ids[own].tobytes(), tags[own].tobytes(), place[own].tobytes(),
-                    (end[own] - begin[own]).astype(np.int32).tobytes(), *[data[s:e] for s, e in zip(begin[own].tolist(), end[own].tolist())]])))
-            yield arrow({"p": bucket[order[cuts[:-1]]], "block": rows}, BLOCKS)
+                packed = b"".join([data[s:e] for s, e in zip(begin[own].tolist(), end[own].tolist())])
+                waiting.setdefault(int(bucket[own[0]]), []).append(
+                    (mini[own], ids[own], tags[own], place[own], (end[own] - begin[own]).astype(np.int32), packed))
+                held += len(packed)
+            if held >= BLOCK:
+                yield from _blocks(waiting)
+                held = 0
+        yield from _blocks(waiting)
     return task
 
 
