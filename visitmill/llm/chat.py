@@ -86,6 +86,8 @@ def _build(budget: int, history: int):
         while start < len(line) or (number == 0 and system and system[0]["first"]):
             # The earliest turn from which the turns before the run still fit the history.
             back = int(np.searchsorted(total, total[start] - history, side="left"))
+            if start < len(line):  # less history where the next turn would not fit beside it
+                back = max(back, min(start, int(np.searchsorted(total, total[start + 1] - room, side="left"))))
             used = int(total[start] - total[back])
             stop = int(np.searchsorted(total, total[start] + max(0, room - used), side="right")) - 1
             stop = min(len(line), max(stop, start + 1))
