@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitmill.llm.shared import mix, saved, scratch
+from visitmill.llm.shared import mix, pieces, saved, scratch
 
 #: White space at the ends of a line, as bytes and as text.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -84,7 +84,7 @@ def _signed(values: list[int]) -> np.ndarray:
 
 def _lines(min_chars: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             docs, first, second = [], [], []
             for at, text in enumerate(batch.column("text")):
                 for a, b in {x for x in line_hashes(text.as_py(), min_chars) if x}:
@@ -163,7 +163,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> D
 
 def _rewrite(min_chars: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, totals, dropped = [], [], []
             for text, gone in zip(batch.column("text"), batch.column("__gone")):
                 text, drop = text.as_py(), set(gone.as_py() or ())

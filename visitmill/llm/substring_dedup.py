@@ -23,14 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitmill.llm.shared import arrow, pieces, saved, scratch, words
+from visitmill.llm.shared import PIECE, arrow, pieces, saved, scratch, words
 
 GRAM = 4
 #: Different strings of one minimiser that a task holds at once.
 MANY = 20_000
 NULL_ID = -(1 << 63)
 #: Bytes of strings that wait to be compressed together.
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 
 BLOCKS = pa.schema([("p", pa.int64()), ("block", pa.binary())])
 STRINGS = pa.schema([("mini", pa.int64()), ("text", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32())])
@@ -65,7 +65,7 @@ def _cut(width: int, buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple]] = {}
         held = 0
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=PIECE // 2):
             found = words(plain(batch.column("text")))
             first, _ = found.windows(width)
             if not len(first):
@@ -228,7 +228,7 @@ def repeated_places(docs: DataFrame, width: int = 20) -> DataFrame:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in pieces(batches):
         texts = batch.column("text").to_pylist()
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("doc_id").fill_null(NULL_ID), pa.array([_tag(t) for t in texts], pa.int64()),
@@ -237,7 +237,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in pieces(batches, "packed", PIECE // 4):
         kept, totals, removed = [], [], []
         for packed, starts, stops in zip(batch.column("packed").to_pylist(), batch.column("starts"), batch.column("stops")):
             own = plain(pa.array([open_(packed).decode() if packed is not None else ""]))[0].as_py()
