@@ -3,7 +3,7 @@
 First pass: the page is cut into blocks at block-level tags. Structure that is never article (menus, page headers, footers, sidebars,
 forms, scripts, and elements that class, id or role call notices, adverts or comments) and blocks that are mostly links are bad; long
 or stop-word rich blocks are good; short or poor ones stay open. Second pass: an open block takes the label of the nearest decided
-block, looking within its own article first. Where a page marks an article, what stands outside of it is not main text.
+block; in an article it is bad only if its decided neighbours on both sides are. Where a page marks an article, what stands outside of it is not main text.
 
 Defined cases: null or empty html gives empty text. Tags that are never closed end with their container; a tag or comment that the
 page's end cuts off is dropped, a cut-off character reference is text. Rows are independent: null and repeated ids and urls pass.
@@ -166,19 +166,18 @@ def _decide(block: Block) -> int:
     return (GOOD if rich else BAD) if len(block.text) >= LONG else GOOD if rich and len(block.text) >= 2 * SHORT else OPEN
 
 
-def _nearest(found: list[Block], decided: list[int], within: bool) -> list[int]:
-    """Label of the nearest decided block for each block, of its own region if within; good wins a tie, OPEN if there is none."""
-    best = [(len(found) + 1, 0, OPEN)] * len(found)
+def _neighbours(found: list[Block], decided: list[int], within: bool) -> list[list[tuple[int, int]]]:
+    """For each block, distance and label of the nearest decided block on each side, of its own region if within."""
+    out: list[list[tuple[int, int]]] = [[] for _ in found]
     for order in (range(len(found)), range(len(found) - 1, -1, -1)):
         last: dict[int, int] = {}
         for i in order:
             region = found[i].region if within else 0
             if region in last:
-                k = last[region]
-                best[i] = min(best[i], (abs(i - k), -decided[k], decided[k]))
+                out[i].append((abs(i - last[region]), decided[last[region]]))
             if decided[i] != OPEN:
                 last[region] = i
-    return [x[2] for x in best]
+    return out
 
 
 def label(found: list[Block]) -> list[Block]:
@@ -186,20 +185,19 @@ def label(found: list[Block]) -> list[Block]:
     for block in found:
         block.label = _decide(block)
     marked = any(b.region and b.label != BAD for b in found)
-    first = [b.label for b in found]
     good_regions = {b.region for b in found if b.region and b.label == GOOD}
-    inner, outer = _nearest(found, first, True), _nearest(found, first, False)
-
+    # What structure rules out inside an article (an advert, say) tells nothing of the text around it.
+    inner = _neighbours(found, [OPEN if b.bad else b.label for b in found], True)
+    outer = _neighbours(found, [b.label for b in found], False)
     for i, block in enumerate(found):
         if marked and not block.region:
             block.label = BAD
+        elif block.label == OPEN and block.region:
+            # Between bad neighbours only; an article without a single clear block is all there is.
+            lost = block.region in good_regions and len(inner[i]) == 2 and all(x == BAD for _, x in inner[i])
+            block.label = BAD if lost else GOOD
         elif block.label == OPEN:
-            if not block.region:
-                block.label = outer[i] or BAD
-            elif block.region in good_regions:
-                block.label = inner[i] or GOOD
-            else:  # an article without a single clear block is all there is
-                block.label = GOOD
+            block.label = min(outer[i], key=lambda x: (x[0], -x[1]))[1] if outer[i] else BAD
     return found
 
 
