@@ -39,7 +39,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFra
     found = F.filter(F.split(F.coalesce("text", F.lit("")), f"{SPACE}+"), lambda w: w != "")
     features = saved(_plain(docs).select("doc_id", _tag().alias("tag"), F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(WORDS)).cast("int")).alias("f")), "features", folder)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).dropna()
-    counts = saved(features.join(known.distinct(), "doc_id").select("domain", F.explode("f").alias("w"))
+    counts = saved(features.join(known.distinct().hint("merge"), "doc_id").select("domain", F.explode("f").alias("w"))
                    .groupBy("domain", "w").agg(F.count(F.lit(1)).alias("n")), "counts", folder)
     totals = {r.domain: r.n for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
     domains = sorted(totals)
