@@ -113,9 +113,10 @@ def test_nul_is_removed_and_bytes_are_cut(spark):
     frame = spark.range(1).select(
         F.concat(F.lit("GE"), F.char(F.lit(0)), F.lit("T")).alias("method"),
         F.expr("cast(X'61FFFE62' as string)").alias("url"), F.repeat(F.lit("é"), 200).alias("host"))
-    row = frame.withColumns(text.sanitize_columns(frame.columns)).first()
+    row = frame.withColumns(text.sanitize_columns(frame.columns, text.LIMITS)).first()
     assert (row.method, row.url) == ("GET", "a?b")
     assert len(row.host.encode()) == 254
+    assert len(frame.withColumns(text.sanitize_columns(frame.columns)).first().host) == 200
 
 
 @pytest.mark.parametrize("layout,pattern", [

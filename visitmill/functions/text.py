@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Byte limits of stored text.
+# Byte limits of a store with bounded columns; Parquet needs none, so nothing is cut unless asked for.
 LIMITS = {
     "url": 2000, "referer": 2000, "browser": 256, "os": 256, "device": 256,
     "host": 255, "request_id": 256, "upstream_addr": 512,
@@ -62,12 +62,8 @@ def cut_bytes(text: Column | str, limit: int) -> Column:
     return F.when(F.octet_length(text) > limit, whole).otherwise(text)
 
 
-def sanitize_columns(columns: list[str]) -> dict[str, Column]:
-    """Cleaning and cutting for every text column of a record."""
-    out = {}
-    for name in columns:
-        if name in LIMITS:
-            out[name] = cut_bytes(clean_utf8(name), LIMITS[name])
-        elif name in UNLIMITED:
-            out[name] = clean_utf8(name)
-    return out
+def sanitize_columns(columns: list[str], limits: dict[str, int] | None = None) -> dict[str, Column]:
+    """Cleaning for every text column of a record; columns named in ``limits`` are cut to that many bytes."""
+    limits = limits or {}
+    return {name: cut_bytes(clean_utf8(name), limits[name]) if name in limits else clean_utf8(name)
+            for name in columns if name in LIMITS or name in UNLIMITED}

@@ -94,8 +94,9 @@ def rebuild_session_day(sessions: DataFrame, day: dt.date, zone: str = "UTC") ->
 
 
 def _day_bounds(day: dt.date, zone: str) -> tuple[int, int]:
-    start = epoch(dt.datetime.combine(day, dt.time()), zone)
-    return start, start + 86400
+    """First second of the day and of the next one; a day with a clock change has 23 or 25 hours."""
+    first, after = (dt.datetime.combine(d, dt.time()) for d in (day, day + dt.timedelta(days=1)))
+    return epoch(first, zone), epoch(after, zone)
 
 
 def put_bucket(table: DataFrame, fresh: DataFrame, column: str, value: Column) -> DataFrame:

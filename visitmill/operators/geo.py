@@ -16,7 +16,7 @@ from visitmill.functions.places import (format_answer, is_hidden, normalize_plac
 from visitmill.operators.parse import pending_location
 from visitmill.operators.ranges import match_ranges
 from visitmill.operators.shared import lookup, page
-from visitmill.schema import GEO_BATCH, GEO_COOLDOWN_HOURS, PENDING, UNKNOWN
+from visitmill.schema import GEO_COOLDOWN_HOURS, PENDING, UNKNOWN
 
 # Labels of local and private addresses.
 LOCAL = ("本地", "本地")
@@ -82,16 +82,18 @@ def geo_enqueue(log: DataFrame, cache: DataFrame, pending: DataFrame, now: int)
     return queue, kept
 
 
-def geo_pending_batch(pending: DataFrame, failures: DataFrame, now: int, limit: int = GEO_BATCH) -> DataFrame:
-    """The longest-waiting addresses without a failure in the last 12 hours."""
+def geo_pending_batch(pending: DataFrame, failures: DataFrame, now: int, limit: int | None = None) -> DataFrame:
+    """Addresses without a failure in the last 12 hours; with ``limit``, those that wait longest."""
     recent = failures.filter(F.col("created_at") >= now - GEO_COOLDOWN_HOURS * 3600).select("ip").distinct()
-    return pending.join(recent, "ip", "left_anti").orderBy("updated_at", "ip").limit(limit)
+    able = pending.join(recent, "ip", "left_anti")
+    return able if limit is None else able.orderBy("updated_at", "ip").limit(limit)
 
 
-def geo_recover_pending(log: DataFrame, limit: int = GEO_BATCH) -> DataFrame:
-    """Addresses whose facts still wait for a location."""
+def geo_recover_pending(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Addresses whose facts still wait for a location; with ``limit``, the first by address."""
     waiting = log.filter((F.col("domestic") == PENDING) & (F.col("global") == PENDING) & (F.trim("ip") != ""))
-    return waiting.select(F.trim("ip").alias("ip")).distinct().orderBy("ip").limit(limit)
+    found = waiting.select(F.trim("ip").alias("ip")).distinct()
+    return found if limit is None else found.orderBy("ip").limit(limit)
 
 
 def geo_resolve(batch: DataFrame, cache: DataFrame, ranges: DataFrame, answers: DataFrame) -> DataFrame:
@@ -238,7 +240,7 @@ def geo_failures(failures: DataFrame, log: DataFrame | None = None, reason: str
                  number: int = 1, size: int = 50) -> DataFrame:
     """A page of failures, newest first. ``has_more`` says whether a next page exists; ``log`` restricts to a
     site's addresses."""
-    size = min(size if size > 0 else 50, 500)
+    size = size if size > 0 else 50
     number = max(number, 1)
     rows = _selected(failures, log, reason, keyword).orderBy(F.desc("created_at"), F.desc("id"))
     # One row past the page tells whether there is more; numbering covers this page only.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from visitmill.operators.aggregates import first_seen
 from visitmill.operators.shared import lookup, page
 from visitmill.plans.clock import between, one_of, period, positive, visitor_range
-from visitmill.schema import BOT, CHINA, LOG_COLUMNS, PAGE_SIZE_MAX
+from visitmill.schema import BOT, CHINA, LOG_COLUMNS
 
 SORT_FIELDS = ["timestamp", "ip", "url", "status_code", "bytes_sent", "request_length", "request_time_ms",
                "upstream_response_time_ms"]
@@ -105,6 +105,7 @@ class LogQuery:
     page: int = 1
     page_size: int = 100
     wildcards: bool = False
+    zone: str = "UTC"
 
     def check(self) -> "LogQuery":
         positive("page", self.page)
@@ -115,7 +116,6 @@ class LogQuery:
             self.sort_order = "desc"
         if self.new_visitor:
             one_of("new_visitor", self.new_visitor, ["new", "returning", "all"])
-        self.page_size = min(self.page_size, PAGE_SIZE_MAX)
         return self
 
 
@@ -123,7 +123,7 @@ def matching(log: DataFrame, q: LogQuery, now: dt.datetime | None = None) -> Dat
     """Rows that meet every filter of the query that needs no join."""
     rows = log
     if q.time_range:
-        when = period(q.time_range, now)
+        when = period(q.time_range, now, q.zone)
         rows = between(rows, when.start_ts, when.end_ts)
     if q.time_start > 0:
         rows = between(rows, q.time_start)
@@ -165,7 +165,7 @@ def latest_per_ip(rows: DataFrame) -> DataFrame:
 def _selected(log: DataFrame, q: LogQuery, now: dt.datetime | None, seen: DataFrame | None) -> DataFrame:
     rows = matching(log, q, now)
     if q.new_visitor:
-        start, end = visitor_range(q.time_range, q.time_start, q.time_end, now)
+        start, end = visitor_range(q.time_range, q.time_start, q.time_end, now, q.zone)
         rows = with_visitor_flag(rows, first_seen(log) if seen is None else seen, start, end, q.new_visitor)
     return rows
 

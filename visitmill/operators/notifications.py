@@ -45,7 +45,7 @@ def notification_rollup(table: DataFrame, events: DataFrame) -> DataFrame:
 
 def notification_list(table: DataFrame, unread_only: bool = False, number: int = 1, size: int = 20) -> DataFrame:
     """A page of notifications, last occurred first; ``has_more`` says whether a next page exists."""
-    size = min(size if size > 0 else 20, 200)
+    size = size if size > 0 else 20
     rows = table.filter(F.col("read_at").isNull()) if unread_only else table
     return page_plus_one(rows.orderBy(F.desc("last_occurred_at"), "fingerprint"), max(number, 1), size)
 

@@ -45,14 +45,22 @@ def overall_totals(daily: DataFrame, daily_ip: DataFrame, when: Period) -> DataF
 
 def status_hits(daily: DataFrame, current: Period, previous: Period) -> DataFrame:
     """Status counters of both periods in one pass over the daily table, one row per period."""
-    low, high = min(current.days[0], previous.days[0]), max(current.days[1], previous.days[1])
-    near = daily.filter(F.col("day").between(F.lit(low), F.lit(high)))
-    wide = near.agg(*_status_sums("current_", current), *_status_sums("previous_", previous))
+    wide = near_days(daily, current, previous).agg(*_status_sums("current_", current), *_status_sums("previous_", previous))
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("period"), *[F.col(f"{name}_{s}").alias(s) for s in STATUS])
         for name in ("current", "previous")])))
 
 
+def near_days(table: DataFrame, *periods: Period) -> DataFrame:
+    """The days from the first to the last of the periods: all that a conditional sum over them can need."""
+    low, high = min(p.days[0] for p in periods), max(p.days[1] for p in periods)
+    return table.filter(F.col("day").between(F.lit(low), F.lit(high)))
+
+
+def near_times(rows: DataFrame, periods: list[Period], column: str) -> DataFrame:
+    return between(rows, min(p.start_ts for p in periods), max(p.end_ts for p in periods), column)
+
+
 def _status_sums(prefix: str, when: Period) -> list[Column]:
     return [sum_where(_on(when), s).alias(prefix + s) for s in STATUS]
 
@@ -71,7 +79,7 @@ def active_visitors(log: DataFrame, now: dt.datetime | None = None, minutes: int
 def new_returning(daily_ip: DataFrame, first_seen: DataFrame, periods: dict[str, Period]) -> DataFrame:
     """New and returning visitors of several periods: one grouping by address, one join of unique keys."""
     flags = [F.max(_on(p)).alias(f"in_{n}") for n, p in periods.items()]
-    active = daily_ip.groupBy("ip").agg(*flags).join(first_seen, "ip", "left")
+    active = near_days(daily_ip, *periods.values()).groupBy("ip").agg(*flags).join(first_seen, "ip", "left")
     first = F.col("first_ts")
     sums = []
     for name, p in periods.items():
@@ -118,14 +126,16 @@ def snapshots(t: Tables, ranges: dict[str, Period], exact: bool = False) -> Data
     if exact:
         def hit(p: Period, column: str) -> Column:
             return (F.col(column) >= p.start_ts) & (F.col(column) < p.end_ts)
-        views = pageviews(t.log)
+        spans = list(ranges.values())
+        views = pageviews(near_times(t.log, spans, "timestamp"))
         pv = views.agg(*[count_where(hit(p, "timestamp")).alias(f"{n}_pv") for n, p in ranges.items()])
         by_ip = views.groupBy("ip").agg(*[F.max(hit(p, "timestamp")).alias(n) for n, p in ranges.items()])
-        runs = t.sessions.agg(*[count_where(hit(p, "start_ts")).alias(f"{n}_sessions") for n, p in ranges.items()])
+        runs = near_times(t.sessions, spans, "start_ts").agg(*[count_where(hit(p, "start_ts")).alias(f"{n}_sessions") for n, p in ranges.items()])
     else:
-        pv = t.daily.agg(*[sum_where(_on(p), "pv").alias(f"{n}_pv") for n, p in ranges.items()])
-        by_ip = t.daily_ip.groupBy("ip").agg(*[F.max(_on(p)).alias(n) for n, p in ranges.items()])
-        runs = t.session_daily.agg(*[sum_where(_on(p), "sessions").alias(f"{n}_sessions")
+        daily, daily_ip, session_daily = (near_days(x, *ranges.values()) for x in (t.daily, t.daily_ip, t.session_daily))
+        pv = daily.agg(*[sum_where(_on(p), "pv").alias(f"{n}_pv") for n, p in ranges.items()])
+        by_ip = daily_ip.groupBy("ip").agg(*[F.max(_on(p)).alias(n) for n, p in ranges.items()])
+        runs = session_daily.agg(*[sum_where(_on(p), "sessions").alias(f"{n}_sessions")
                                      for n, p in ranges.items()])
     uv = by_ip.agg(*[count_where(F.col(n)).alias(f"{n}_uv") for n in ranges])
     return one_row(pv, uv, runs)
@@ -171,7 +181,7 @@ def overall(t: Tables, name: str, now: dt.datetime | None = None, zone: str = "U
     ranges, facts = compare_ranges(name, now, zone)
     current, previous = ranges["current"], ranges["previous"]
     wide = snapshots(t, ranges, exact)
-    near = t.daily.agg(sum_where(_on(current), "traffic").alias("traffic"),
+    near = near_days(t.daily, current, previous).agg(sum_where(_on(current), "traffic").alias("traffic"),
                        *_status_sums("", current), *_status_sums("prev_", previous))
     visitors = new_returning(t.daily_ip, t.first_seen, {"current": current, "previous": previous})
     pivoted = visitors.agg(*[

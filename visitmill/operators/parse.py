@@ -22,7 +22,7 @@ from visitmill.functions.text import (append_query, decode_url, optional_field,
 from visitmill.functions.times import (HAPROXY_LAYOUT, IIS_LAYOUT, epoch_number, parse_duration, parse_time,
                                        pattern_of)
 from visitmill.plans.clock import epoch, wall_clock
-from visitmill.schema import ACCESS_LOG, DEDUP_MINUTES, PENDING, RETENTION_DAYS, UNKNOWN
+from visitmill.schema import ACCESS_LOG, DEDUP_MINUTES, PENDING, UNKNOWN
 
 # The line patterns of the built-in formats.
 PATTERNS = {
@@ -242,10 +242,11 @@ def _request(raw: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, made: LineFormat, *, line: str = "value", now: dt.datetime | None = None,
-                retention_days: int | None = RETENTION_DAYS, rules: PageviewRules | None = None,
+                retention_days: int | None = None, rules: PageviewRules | None = None,
                 native_units: bool = False) -> DataFrame:
     """Records with a ``parse_error`` column: NULL for good rows, else why the line is refused.
 
+    ``retention_days`` refuses rows older than that; without it rows of any age are good, so that old logs can be read in.
     Columns of ``lines`` such as ``website_id`` or ``id`` are carried along. ``native_units`` reads a ``duration``
     group without unit as milliseconds, which is what Envoy writes; by default it counts as seconds.
     """
@@ -302,8 +303,8 @@ def parse_lines(lines: DataFrame, made: LineFormat, *, line: str = "value", now:
     return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
-def good_rows(parsed: DataFrame, line: str = "value") -> DataFrame:
-    """Records fit for storage: errors dropped, text cleaned and cut to the stored lengths.
+def good_rows(parsed: DataFrame, line: str = "value", limits: dict[str, int] | None = None) -> DataFrame:
+    """Records fit for storage: errors dropped, text cleaned and, with ``limits``, cut to so many bytes.
 
     Rows without an id get one from their own content, so it stays the same when a task is run again.
     """
@@ -311,7 +312,7 @@ def good_rows(parsed: DataFrame, line: str = "value") -> DataFrame:
     if "id" not in good.columns:
         origin = [c for c in ("website_id", "source_id", "path") if c in good.columns]
         good = good.withColumn("id", F.xxhash64(*origin, line))
-    good = good.withColumns(sanitize_columns(good.columns))
+    good = good.withColumns(sanitize_columns(good.columns, limits))
     names = [f.name for f in ACCESS_LOG.fields if f.name in good.columns]
     return good.select(*names)
 

@@ -18,8 +18,8 @@ DEVICE_GROUPS = {"pc": "PC端", "mobile": "移动端", "other": "其他"}
 
 
 def bounds(now: dt.datetime | None = None, minutes: int = 30, zone: str = "UTC") -> tuple[int, int, int]:
-    """Window start, end and length; 30 minutes unless said otherwise, at most 60."""
-    minutes = min(minutes if minutes and minutes > 0 else 30, 60)
+    """Window start, end and length; 30 minutes unless said otherwise."""
+    minutes = minutes if minutes and minutes > 0 else 30
     end = epoch(now or wall_clock(zone), zone)
     return end - minutes * 60, end, minutes
 
@@ -29,15 +29,17 @@ def window(log: DataFrame, now: dt.datetime | None = None, minutes: int = 30, zo
     return pageviews(between(log, start, end))
 
 
-def realtime_active(log: DataFrame, now: dt.datetime | None = None, minutes: int = 30) -> DataFrame:
-    return window(log, now, minutes).agg(F.countDistinct("ip").alias("active"))
+def realtime_active(log: DataFrame, now: dt.datetime | None = None, minutes: int = 30,
+                     zone: str = "UTC") -> DataFrame:
+    return window(log, now, minutes, zone).agg(F.countDistinct("ip").alias("active"))
 
 
-def realtime_series(log: DataFrame, now: dt.datetime | None = None, minutes: int = 30) -> DataFrame:
+def realtime_series(log: DataFrame, now: dt.datetime | None = None, minutes: int = 30,
+                     zone: str = "UTC") -> DataFrame:
     """Visitors of every minute, from the minute the window starts in."""
-    start, _, size = bounds(now, minutes)
+    start, _, size = bounds(now, minutes, zone)
     first = start // 60
-    seen = window(log, now, minutes).select(F.expr("timestamp div 60").alias("minute"), "ip").distinct()
+    seen = window(log, now, minutes, zone).select(F.expr("timestamp div 60").alias("minute"), "ip").distinct()
     counted = seen.groupBy("minute").agg(F.count("*").alias("uv"))
     spine = log.sparkSession.range(first, first + size).select(
         F.col("id").alias("minute"), F.lit(0).cast("long").alias("uv"))
@@ -45,9 +47,10 @@ def realtime_series(log: DataFrame, now: dt.datetime | None = None, minutes: int
     return spine.unionByName(inside).groupBy("minute").agg(F.sum("uv").alias("uv"))
 
 
-def realtime_devices(log: DataFrame, now: dt.datetime | None = None, minutes: int = 30) -> DataFrame:
+def realtime_devices(log: DataFrame, now: dt.datetime | None = None, minutes: int = 30,
+                     zone: str = "UTC") -> DataFrame:
     """Visitors per device label, regrouped; a visitor with two device labels counts for both."""
-    per_label = window(log, now, minutes).groupBy("device").agg(F.countDistinct("ip").alias("uv"))
+    per_label = window(log, now, minutes, zone).groupBy("device").agg(F.countDistinct("ip").alias("uv"))
     device = F.col("device")
     group = (F.when(device == DESKTOP, "pc").when(device.isin(PHONE, TABLET), "mobile").otherwise("other"))
     wide = per_label.agg(*[F.coalesce(F.sum(F.when(group == g, F.col("uv"))), F.lit(0)).alias(g)
@@ -66,7 +69,7 @@ def _top(rows: DataFrame, key: Column, visitors: bool, limit: int) -> DataFrame:
 
 
 def realtime_top(log: DataFrame, what: str, domains: list[str] | None = None, now: dt.datetime | None = None,
-                 minutes: int = 30, limit: int = 10) -> DataFrame:
+                 minutes: int = 30, limit: int = 10, zone: str = "UTC") -> DataFrame:
     """Top ``referers``, ``browsers``, ``locations`` by visitors or ``pages`` by hits."""
     keys = {
         "referers": labels.referer_label("referer", domains or []),
@@ -74,13 +77,13 @@ def realtime_top(log: DataFrame, what: str, domains: list[str] | None = None, no
         "browsers": F.col("browser"),
         "locations": labels.after_dot("domestic"),
     }
-    return _top(window(log, now, minutes), keys[what], what != "pages", limit)
+    return _top(window(log, now, minutes, zone), keys[what], what != "pages", limit)
 
 
 def realtime_entry_pages(log: DataFrame, now: dt.datetime | None = None, minutes: int = 30,
-                         limit: int = 10) -> DataFrame:
+                         limit: int = 10, zone: str = "UTC") -> DataFrame:
     """Entry pages of the sessions inside the window; share of all sessions in it."""
-    runs = sessionize(window(log, now, minutes))
+    runs = sessionize(window(log, now, minutes, zone))
     counts = runs.groupBy(F.col("entry_url").alias("name")).agg(F.count("*").alias("count"))
     whole = counts.agg(F.sum("count").alias("n")).scalar()
     top = counts.orderBy(F.desc("count"), "name").limit(limit)

@@ -20,8 +20,8 @@ DIRECT_LABELS = [DIRECT, "direct", "-", "", INTERNAL, "internal"]
 CARD_SYSTEMS = {"ios": "ios|iphone|ipad", "android": "android"}
 
 
-def days(day: dt.date) -> tuple[Period, Period]:
-    return period(str(day)), period(str(day - dt.timedelta(days=1)))
+def days(day: dt.date, zone: str = "UTC") -> tuple[Period, Period]:
+    return period(str(day), zone=zone), period(str(day - dt.timedelta(days=1)), zone=zone)
 
 
 def rate_of_change(current: Column | str, previous: Column | str) -> Column:
@@ -36,9 +36,9 @@ def _compared(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"delta": F.col("current") - F.col("previous"), "rate": rate_of_change("current", "previous")})
 
 
-def kpi_day(t: ov.Tables, day: dt.date) -> DataFrame:
+def kpi_day(t: ov.Tables, day: dt.date, zone: str = "UTC") -> DataFrame:
     """One row per metric: value, previous value, delta and rate."""
-    now, before = days(day)
+    now, before = days(day, zone)
     wide = ov.snapshots(t, {"current": now, "previous": before})
     frames = [wide]
     for name, when in (("current", now), ("previous", before)):
@@ -62,7 +62,7 @@ def source_group(label: Column | str) -> Column:
 
 
 def source_groups(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Visitors per source group of two referer rankings."""
+    """Visitors per source group of two referer rankings, which should hold all referers (``limit=None``)."""
     groups = ["search", "direct", "external"]
 
     def wide(ranking: DataFrame, name: str) -> DataFrame:
@@ -76,16 +76,18 @@ def source_groups(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def top_with_previous(log: DataFrame, day: dt.date, key: Column | str, limit: int = 10, search_only: bool = False,
-                      as_reference: bool = False) -> DataFrame:
+                      as_reference: bool = False, zone: str = "UTC") -> DataFrame:
     """The day's ranking with the previous day's values.
 
-    The previous value of a key comes from the whole previous day; ``as_reference`` looks at the previous top rows
-    only and counts anything else as 0.
+    ``search_only`` ranks search engines alone (``as_reference`` picks them out of the ranking of all). The previous value
+    of a key comes from the whole previous day; ``as_reference`` looks at the previous top rows only and counts anything
+    else as 0.
     """
     key = F.col(key) if isinstance(key, str) else key
-    now, before = days(day)
-    top = st.ranked(log, now, key, limit).select("key", "pv", "uv", share("uv", total_of("uv")).alias("share"))
-    if search_only:
+    now, before = days(day, zone)
+    asked = log.filter(labels.is_search(key)) if search_only and not as_reference else log
+    top = st.ranked(asked, now, key, limit).select("key", "pv", "uv", share("uv", total_of("uv")).alias("share"))
+    if search_only and as_reference:
         top = top.filter(labels.is_search("key"))
     if as_reference:
         past = st.ranked(log, before, key, limit)
@@ -128,9 +130,9 @@ def movers(top: DataFrame) -> DataFrame:
                     F.min_by("key", down).alias("falling"), F.min("uv_rate").alias("falling_rate"))
 
 
-def visitor_split(t: ov.Tables, day: dt.date) -> DataFrame:
+def visitor_split(t: ov.Tables, day: dt.date, zone: str = "UTC") -> DataFrame:
     """New and returning visitors: share, rate against the day before, mean session length, pages per visitor."""
-    now, before = days(day)
+    now, before = days(day, zone)
     split = ov.new_returning(t.daily_ip, t.first_seen, {"current": now, "previous": before})
     wide = split.agg(*[F.max(F.when(F.col("period") == p, F.col(f"{k}_visitors"))).alias(f"{k}_{p}")
                        for p in ("current", "previous") for k in ("new", "returning")])
@@ -145,7 +147,7 @@ def visitor_split(t: ov.Tables, day: dt.date) -> DataFrame:
 
 
 def device_cards(devices: DataFrame, systems: DataFrame) -> DataFrame:
-    """Desktop, iOS and Android visitors of a device and a system ranking."""
+    """Desktop, iOS and Android visitors of a device and a system ranking of all keys."""
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("uv"))), F.lit(0)).cast("long")
     desktop = devices.agg(total(labels.device_group("key") == "desktop").alias("desktop"))
@@ -162,7 +164,7 @@ def peak_trough_hour(series: DataFrame) -> DataFrame:
 
 
 def device_totals(devices: DataFrame) -> DataFrame:
-    """Visitors per device group with percent of all, two decimals."""
+    """Visitors per device group of a ranking of all devices, with percent of all, two decimals."""
     names = ["desktop", "mobile", "other"]
     wide = devices.agg(*[F.coalesce(F.sum(F.when(labels.device_group("key") == n, F.col("uv"))), F.lit(0)).alias(n)
                          for n in names])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +20,11 @@ def retention_cleanup(log: DataFrame, t: Tables, hourly: DataFrame, hourly_ip: D
 
     Whole buckets are dropped by a filter (partition pruning on stored tables); only the hour and the day that the
     cutoff falls into are counted again. First-seen is rebuilt, since a visitor's first kept visit may be later.
+    ``zone`` must be the session time zone, in which the tables have their hours and days.
     """
     facts = between(log, cutoff)
-    moment = dt.datetime.fromtimestamp(cutoff, dt.timezone.utc)
-    hour, day = cutoff - cutoff % 3600, moment.date()
+    moment = dt.datetime.fromtimestamp(cutoff, ZoneInfo(zone))
+    hour, day = cutoff - moment.minute * 60 - moment.second, moment.date()
     edge_hour, edge_hour_ip = agg.rebuild_hour(facts, hour)
     edge_day, edge_day_ip = agg.rebuild_day(facts, day, zone)
     sessions = t.sessions.filter(F.col("start_ts") >= cutoff)

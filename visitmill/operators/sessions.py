@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from visitmill.operators.shared import lookup, page, pageviews, share
 from visitmill.plans.clock import Period, between, in_days, in_period, positive
-from visitmill.schema import PAGE_SIZE_MAX, SESSION_GAP, VISITOR, scope
+from visitmill.schema import SESSION_GAP, VISITOR, scope
 
 
 def slot_rows(log: DataFrame, gap: int = SESSION_GAP, details: bool = True) -> DataFrame:
@@ -176,7 +176,7 @@ def session_filters(log: DataFrame, start: int = 0, end: int = 0, ip: str = "",
 def session_list(log: DataFrame, when: Period | None = None, number: int = 1, size: int = 100,
                  **filters) -> DataFrame:
     """Sessions of the filtered page views, newest first, one page."""
-    size = min(positive("size", size), PAGE_SIZE_MAX)
+    positive("size", size)
     rows = session_filters(in_period(log, when) if when else log, **filters)
     ordered = sessionize(rows).orderBy(F.desc("start_ts"), "ip", "browser", "os", "device")
     return page(ordered, positive("number", number), size).select(

@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from visitmill.functions import labels
 from visitmill.operators.shared import pageviews, percent, share, total_of
-from visitmill.plans.clock import Period, as_day, epoch, in_days, in_period, one_of, positive
+from visitmill.plans.clock import Period, as_day, between, epoch, in_days, in_period, one_of, positive
 from visitmill.schema import CHINA
 
 
-def ranked(log: DataFrame, when: Period, key: Column | str, limit: int = 10) -> DataFrame:
-    """Page views and visitors per key, top ``limit`` by visitors, with percents of the rows returned."""
+def ranked(log: DataFrame, when: Period, key: Column | str, limit: int | None = 10) -> DataFrame:
+    """Page views and visitors per key, top ``limit`` by visitors (None: all keys), with percents of the rows returned."""
     key = F.col(key) if isinstance(key, str) else key
-    top = (pageviews(in_period(log, when)).groupBy(key.alias("key"))
-           .agg(F.count("*").alias("pv"), F.countDistinct("ip").alias("uv"))
-           .orderBy(F.desc("uv"), F.desc("pv"), "key").limit(positive("limit", limit)))
+    keys = (pageviews(in_period(log, when)).groupBy(key.alias("key"))
+            .agg(F.count("*").alias("pv"), F.countDistinct("ip").alias("uv")))
+    if limit is None:
+        whole = {c: keys.agg(F.sum(c)).scalar() for c in ("pv", "uv")}
+        return keys.select("key", "pv", "uv", percent("pv", whole["pv"]).alias("pv_percent"), percent("uv", whole["uv"]).alias("uv_percent"))
+    top = keys.orderBy(F.desc("uv"), F.desc("pv"), "key").limit(positive("limit", limit))
     return top.select(
         "key", "pv", "uv",
         percent("pv", total_of("pv")).alias("pv_percent"),
@@ -26,27 +29,27 @@ def ranked(log: DataFrame, when: Period, key: Column | str, limit: int = 10) ->
     )
 
 
-def url_stats(log: DataFrame, when: Period, limit: int = 10) -> DataFrame:
+def url_stats(log: DataFrame, when: Period, limit: int | None = 10) -> DataFrame:
     return ranked(log, when, "url", limit)
 
 
-def referer_stats(log: DataFrame, when: Period, domains: list[str], limit: int = 10) -> DataFrame:
+def referer_stats(log: DataFrame, when: Period, domains: list[str], limit: int | None = 10) -> DataFrame:
     return ranked(log, when, labels.referer_label("referer", domains), limit)
 
 
-def referer_ip(log: DataFrame, when: Period, kind: str = "all", limit: int = 10) -> DataFrame:
+def referer_ip(log: DataFrame, when: Period, kind: str = "all", limit: int | None = 10) -> DataFrame:
     return ranked(log.filter(labels.of_source(kind)), when, "ip", limit)
 
 
-def browser_stats(log: DataFrame, when: Period, limit: int = 10) -> DataFrame:
+def browser_stats(log: DataFrame, when: Period, limit: int | None = 10) -> DataFrame:
     return ranked(log, when, "browser", limit)
 
 
-def os_stats(log: DataFrame, when: Period, limit: int = 10) -> DataFrame:
+def os_stats(log: DataFrame, when: Period, limit: int | None = 10) -> DataFrame:
     return ranked(log, when, "os", limit)
 
 
-def device_stats(log: DataFrame, when: Period, limit: int = 10) -> DataFrame:
+def device_stats(log: DataFrame, when: Period, limit: int | None = 10) -> DataFrame:
     return ranked(log, when, "device", limit)
 
 
@@ -169,7 +172,8 @@ def period_totals(log: DataFrame, periods: dict[str, Period]) -> DataFrame:
     sums = []
     for name, cond in inside.items():
         sums += [F.count(F.when(cond, 1)).alias(f"{name}_hits"), F.count(F.when(cond & seen, 1)).alias(f"{name}_pv")]
-    wide = log.agg(*sums)
+    near = between(log, min(p.start_ts for p in periods.values()), max(p.end_ts for p in periods.values()))
+    wide = near.agg(*sums)
     rows = F.array(*[
         F.struct(F.lit(n).alias("period"), F.lit(p.start_ts).cast("long").alias("start_ts"),
                  F.lit(p.end_ts).cast("long").alias("end_ts"),

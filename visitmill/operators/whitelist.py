@@ -26,8 +26,6 @@ KIND_LABELS = {"ip": "IP", "cidr": "IP 段", "range": "IP 段", "city": "城市"
 NON_MAINLAND_VALUE = "非大陆"
 TITLE = "白名单命中"
 
-EXPRESSION_LIMIT = 512
-
 
 @dataclasses.dataclass(frozen=True)
 class Whitelist:
@@ -104,12 +102,16 @@ def _location_rule(rules: Whitelist) -> Column:
     return F.when(known, out)
 
 
-def whitelist_match(log: DataFrame, rules: Whitelist) -> DataFrame:
-    """Adds ``rule_type`` and ``rule_value``: NULL where nothing matches."""
+def whitelist_match(log: DataFrame, rules: Whitelist, by_join: bool = False) -> DataFrame:
+    """Adds ``rule_type`` and ``rule_value``: NULL where nothing matches.
+
+    Address rules are a search expression in each row; ``by_join`` looks the distinct addresses up in a table of the rules
+    instead, which suits lists of thousands. Both give the same rows.
+    """
     segments = rules.segments()
     if not segments:
         rows = log.withColumn("_rule", F.lit(None).cast("string"))
-    elif len(segments) <= EXPRESSION_LIMIT:
+    elif not by_join:
         rows = log.withColumn("_k", ip_key(clean_ip("ip"))).withColumn("_rule", _search(F.col("_k"), segments))
     else:
         spark = log.sparkSession

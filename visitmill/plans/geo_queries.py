@@ -125,13 +125,13 @@ _FULL = " WHEN ".join([
 _OCTET = "CASE WHEN ip LIKE '203.%' THEN CAST(split_part(ip, '.', 4) AS INT) ELSE -1 END"
 
 
-def _wl(name, rules, kinds):
+def _wl(name, rules, kinds, by_join=False):
     body = f"""SELECT id, ip, split_part(r, '|', 1) AS rule_type, split_part(r, '|', 2) AS rule_value FROM (
     SELECT *, {_FULL} AS r FROM (SELECT *, {_OCTET} AS o FROM access_log)) WHERE r IS NOT NULL"""
     if kinds:
         body = f"""SELECT id, ip, split_part(r, '|', 1) AS rule_type, split_part(r, '|', 2) AS rule_value FROM (
         SELECT *, {kinds} AS r FROM (SELECT *, {_OCTET} AS o FROM access_log)) WHERE r IS NOT NULL"""
-    q(name, lambda w: wl.whitelist_match(w.log, rules).filter(F.col("rule_type").isNotNull())
+    q(name, lambda w: wl.whitelist_match(w.log, rules, by_join).filter(F.col("rule_type").isNotNull())
       .select("id", "ip", "rule_type", "rule_value"), body)
 
 
@@ -146,9 +146,10 @@ _wl("whitelist_city", wl.Whitelist((), ("深圳市", "杭州")),
 _wl("whitelist_non_mainland", wl.Whitelist((), (), True),
     "CASE WHEN \"global\" IN ('美国', '日本') THEN 'non_mainland|非大陆' END")
 _wl("whitelist_first_match", RULES, None)
-# Long lists are looked up per distinct address instead.
+# Long lists can be looked up per distinct address instead.
 MANY = wl.Whitelist(tuple(f"203.0.{i // 128}.{(i % 128) * 2}" for i in range(128 * 114)))
-_wl("whitelist_long_list", MANY, "CASE WHEN o >= 0 AND o % 2 = 0 THEN concat('ip|', ip) END")
+_wl("whitelist_long_list", MANY, "CASE WHEN o >= 0 AND o % 2 = 0 THEN concat('ip|', ip) END", by_join=True)
+_wl("whitelist_by_join", RULES, None, by_join=True)
 q("whitelist_hits", lambda w: wl.whitelist_hits(wl.whitelist_match(w.log, RULES), "a1b2", "Main"),
   f"""SELECT concat('whitelist:a1b2:', rule_type, ':', rule_value, ':', ip) AS fingerprint, rule_type, rule_value, ip,
   count(*) AS occurrences, first(timestamp ORDER BY timestamp, id) AS timestamp, first(url ORDER BY timestamp, id) AS url,

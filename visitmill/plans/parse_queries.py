@@ -198,7 +198,7 @@ _BAD = """SELECT id, CASE id % 10
 
 def _bad(log):
     lines = log.sparkSession.sql(_BAD.format(**SPARK).replace("FROM ", "FROM {log}"), log=log)
-    return ps.bad_rows(ps.parse_lines(lines, FORMATS["apache"], line="line", now=NOW), line="line")
+    return ps.bad_rows(ps.parse_lines(lines, FORMATS["apache"], line="line", now=NOW, retention_days=30), line="line")
 
 
 q("bad_rows", _bad,

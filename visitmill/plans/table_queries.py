@@ -97,6 +97,29 @@ for _part, _sql in _CLEAN.items():
     q("retention_cleanup" if _part == "facts" else f"retention_cleanup_{_part}", _clean(_part), _sql,
       "sessions", _KEPT, _RUNS)
 
+
+
+def _clean_in(part, zone, cut):
+    def run(log):
+        spark = log.sparkSession
+        spark.conf.set("spark.sql.session.timeZone", zone)  # read when the frames below are made
+        try:
+            tables = rn.retention_cleanup(log, ov.Tables.of(log), agg.agg_hourly(log), agg.agg_hourly_ip(log), cut, zone)
+            return tables[part]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return run
+
+
+# The cutoff falls into 2024-01-11 04:12 in China and 2024-01-11 01:42 in India, on 2024-01-10 in UTC.
+CUT_IN = 1704917520
+for _zone, _ahead, _name in (("Asia/Shanghai", 28800, "shanghai"), ("Asia/Kolkata", 19800, "kolkata")):
+    _local = f"(timestamp + {_ahead})"
+    q(f"retention_cleanup_daily_{_name}", _clean_in("daily", _zone, CUT_IN),
+      f"SELECT CAST(to_timestamp({_local}) AT TIME ZONE 'UTC' AS DATE) AS day, {COUNTERS} FROM access_log WHERE timestamp >= {CUT_IN} GROUP BY 1")
+    q(f"retention_cleanup_hourly_{_name}", _clean_in("hourly", _zone, CUT_IN),
+      f"SELECT {_local} - {_local} % 3600 - {_ahead} AS bucket, {COUNTERS} FROM access_log WHERE timestamp >= {CUT_IN} GROUP BY 1")
+
 R_FROM, R_TO = 1705017600, 1705363200  # 2024-01-12 to 2024-01-16
 
 
@@ -244,12 +267,12 @@ q("kpi_day", lambda log: rp.kpi_day(ov.Tables.of(log), DAY),
   f"SELECT *, current - previous AS delta, {rate('current', 'previous')} AS rate FROM ({_KPI})",
   "daily", "daily_ip", "session_daily", *_summary("c", S_NOW), *_summary("p", S_BEFORE_DAY))
 
-_REF_NOW = ranked_sql(S_REFERER, time=S_NOW)
-_REF_BEFORE = ranked_sql(S_REFERER, time=S_BEFORE_DAY)
+_REF_NOW = ranked_sql(S_REFERER, time=S_NOW, n="ALL")
+_REF_BEFORE = ranked_sql(S_REFERER, time=S_BEFORE_DAY, n="ALL")
 _GROUP = ("CASE WHEN \"key\" IN ('直接输入网址访问', '站内访问', '-', '') THEN 'direct' WHEN "
           + S_SEARCH.replace("referer", '"key"') + " THEN 'search' ELSE 'external' END")
-q("source_groups", lambda log: rp.source_groups(st.referer_stats(log, NOW_P, OWN_DOMAINS),
-                                                st.referer_stats(log, BEFORE_P, OWN_DOMAINS)),
+q("source_groups", lambda log: rp.source_groups(st.referer_stats(log, NOW_P, OWN_DOMAINS, None),
+                                                st.referer_stats(log, BEFORE_P, OWN_DOMAINS, None)),
   f"""SELECT *, current - previous AS delta, {rate('current', 'previous')} AS rate FROM (SELECT g.source,
   CAST(coalesce((SELECT sum(uv) FROM ({_REF_NOW}) WHERE {_GROUP} = g.source), 0) AS BIGINT) AS current,
   CAST(coalesce((SELECT sum(uv) FROM ({_REF_BEFORE}) WHERE {_GROUP} = g.source), 0) AS BIGINT) AS previous
@@ -263,7 +286,7 @@ def top_sql(key, cond="TRUE", as_reference=False):
     return f"""SELECT "key", pv, uv, share, ppv AS previous_pv, puv AS previous_uv, uv - puv AS delta,
     {rate('pv', 'ppv')} AS pv_rate, {rate('uv', 'puv')} AS uv_rate FROM (SELECT c."key", c.pv, c.uv, c.share,
     coalesce(p.pv, 0) AS ppv, coalesce(p.uv, 0) AS puv FROM (SELECT *, CAST(uv AS DOUBLE) / sum(uv) OVER () AS share
-    FROM ({ranked_sql(key, time=S_NOW)})) c LEFT JOIN {past} p ON p."key" = c."key" WHERE {cond})"""
+    FROM ({ranked_sql(key, cond, time=S_NOW)})) c LEFT JOIN {past} p ON p."key" = c."key")"""
 
 
 def _ref_key():
@@ -275,7 +298,7 @@ q("top_with_previous", lambda log: rp.top_with_previous(log, DAY, "url"), top_sq
 q("top_with_previous_reference", lambda log: rp.top_with_previous(log, DAY, "url", as_reference=True),
   top_sql("url", as_reference=True))
 q("top_with_previous_search", lambda log: rp.top_with_previous(log, DAY, _ref_key(), search_only=True),
-  top_sql(S_REFERER, S_SEARCH.replace("referer", 'c."key"')))
+  top_sql(S_REFERER, S_SEARCH.replace("referer", f"({S_REFERER})")))
 q("movers", lambda log: rp.movers(rp.top_with_previous(log, DAY, _ref_key())),
   f"""SELECT (SELECT "key" FROM t WHERE uv_rate IS NOT NULL ORDER BY uv_rate DESC, uv DESC, pv DESC, "key" LIMIT 1) AS rising,
   (SELECT max(uv_rate) FROM t) AS rising_rate,
@@ -298,8 +321,8 @@ q("visitor_split", lambda log: rp.visitor_split(ov.Tables.of(log), DAY),
    UNION ALL SELECT 'returning', a.returning_visitors, b.returning_visitors, a.new_visitors + a.returning_visitors
    FROM ({_nr('current', NOW_P)}) a, ({_nr('previous', BEFORE_P)}) b), c""",
   "daily", "daily_ip", "session_daily", "first_seen", *_summary("c", S_NOW))
-_DEV, _OS = ranked_sql("device", time=S_NOW), ranked_sql("os", time=S_NOW)
-q("device_cards", lambda log: rp.device_cards(st.device_stats(log, NOW_P), st.os_stats(log, NOW_P)),
+_DEV, _OS = ranked_sql("device", time=S_NOW, n="ALL"), ranked_sql("os", time=S_NOW, n="ALL")
+q("device_cards", lambda log: rp.device_cards(st.device_stats(log, NOW_P, None), st.os_stats(log, NOW_P, None)),
   f"""SELECT (SELECT CAST(coalesce(sum(uv), 0) AS BIGINT) FROM ({_DEV}) WHERE "key" = '桌面设备') AS desktop,
   (SELECT CAST(coalesce(sum(uv), 0) AS BIGINT) FROM ({_OS}) WHERE "key" = 'iOS') AS ios,
   (SELECT CAST(coalesce(sum(uv), 0) AS BIGINT) FROM ({_OS}) WHERE "key" = 'Android') AS android""")
@@ -308,7 +331,7 @@ q("peak_trough_hour", lambda log: rp.peak_trough_hour(st.timeseries_hourly(
   f"""SELECT (SELECT h FROM s ORDER BY n DESC, h LIMIT 1) AS peak_hour, (SELECT h FROM s ORDER BY n, h LIMIT 1) AS trough_hour""",
   "hourly_ip", f"""s AS (SELECT CAST(i AS INT) AS h, (SELECT count(*) FROM hourly_ip
   WHERE bucket = {NOW_P.start_ts} + 3600 * i) AS n FROM (SELECT unnest(range(24)) AS i))""")
-q("device_totals", lambda log: rp.device_totals(st.device_stats(log, NOW_P)),
+q("device_totals", lambda log: rp.device_totals(st.device_stats(log, NOW_P, None)),
   f"""SELECT device, visitors, round(CAST(visitors AS DOUBLE) / sum(visitors) OVER () * 100, 2) AS percent FROM (
   SELECT g.device, CAST(coalesce(sum(uv), 0) AS BIGINT) AS visitors FROM (SELECT unnest(['desktop', 'mobile', 'other'])
   AS device) g LEFT JOIN (SELECT uv, CASE "key" WHEN '桌面设备' THEN 'desktop' WHEN '手机' THEN 'mobile' WHEN '平板'
