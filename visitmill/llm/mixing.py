@@ -1,6 +1,7 @@
 """Mixing documents so that their domains reach target shares of the tokens; DataFrame functions only.
 
-Method: soft membership. A naive Bayes classifier, learned from a labelled table, gives every document a posterior over the domains.
+Method: soft membership. A naive Bayes classifier, learned from a labelled table, gives every document a posterior over the domains;
+the priors are the domains' shares of the labelled tokens, so that words which tell little leave those shares as they are.
 Projected-gradient least squares then finds a nonnegative rate for each document such that the expected tokens of each domain,
 sum(rate * tokens * posterior), meet their targets in relative squared error. A step needs one number per domain: one aggregation
 over the documents; rates are an expression of the posteriors and the steps so far, so nothing is carried from step to step.
@@ -55,7 +56,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFra
     # A mean, not a sum, so that repeated rows change nothing; words of one text depend on each other, hence the root.
     scored = (sized.select(F.col("doc_id").alias("own_id"), F.col("tag").alias("own_tag"), "n_tokens")
               .join(means, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_tag") == F.col("tag")), "left"))
-    power = [F.coalesce(F.col(f"m{k}"), F.lit(0.0)) * F.sqrt("n_tokens") for k in range(len(domains))]
+    share = [totals[d] / sum(totals.values()) for d in domains]
+    power = [F.coalesce(F.col(f"m{k}"), F.lit(0.0)) * F.sqrt("n_tokens") + F.log(F.lit(share[k])) for k in range(len(domains))]
     top = F.greatest(*power)
     weights = [F.exp(x - top) for x in power]
     return saved(scored.select(F.col("own_id").alias("doc_id"), F.col("own_tag").alias("tag"), "n_tokens",
