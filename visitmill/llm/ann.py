@@ -7,6 +7,10 @@ stops when the probabilities add up to what the wanted recall asks of one table.
 product on the original vectors in double precision, and the tables' best are merged. A query that found fewer rows than asked for
 is compared with all vectors.
 
+Buckets are visited in rounds, the likeliest first, each round about eight times the buckets of those before it. After a round a query
+knows the score that its last place takes so far, and a later round reports only candidates that reach it. So the rows that are merged
+grow with the queries, not with queries times groups.
+
 Work is dealt by groups of buckets. Both sides of a group are split into parts of bounded size, as measured, so neither a large
 bucket nor many queries meet in one task. Equal vectors are one candidate with its smallest ids.
 
@@ -33,6 +37,8 @@ SAMPLE = 64
 #: Vectors that a bucket should hold on average; rows of one part of a group.
 BUCKET, PART, GROUP = 300, 8192, 16384
 MOST_PROBES = 1 << 14
+#: Buckets of one table that have been visited at the end of each round.
+ROUNDS = (1, 8, 64, 512, 4096, MOST_PROBES)
 
 
 @dataclass
@@ -61,11 +67,11 @@ class Tables:
             key = key * 31 + np.clip(slots[:, k] + 15, 0, 30)
         return key
 
-    def probes(self, query: np.ndarray) -> np.ndarray:
-        """Buckets to visit for one query."""
+    def probes(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets to visit for one query, and the round of each."""
         unit = np.append(query / np.linalg.norm(query), 0.0)
         spread = math.sqrt(max(1e-6, 1.0 - self.cosine**2))
-        out = []
+        keys, rounds = [], []
         for table in range(len(self.planes)):
             centre = self.planes[table] @ unit * self.cosine
             chance, slots = np.ones(1), np.zeros((1, 0), dtype=np.int64)
@@ -79,13 +85,15 @@ class Tables:
                 best = np.argsort(-chance, kind="stable")[:MOST_PROBES]
                 chance, slots = chance[best], slots[best]
             enough = int(np.searchsorted(np.cumsum(chance), self.reach)) + 1
-            out.append(np.unique(self.key(table, slots[:enough])))
-        return np.concatenate(out)
+            own, first = np.unique(self.key(table, slots[:enough]), return_index=True)
+            keys.append(own)
+            rounds.append(np.searchsorted(ROUNDS, first, side="right"))
+        return np.concatenate(keys), np.concatenate(rounds)
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, v): the usable vectors as doubles."""
-    v = F.col("embedding").cast("array<double>")
+    """(vec_id, v): the usable vectors; floats stay floats, which are shorter to shuffle, all else is double."""
+    v = F.col("embedding").cast("array<float>" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>")
     usable = (F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
               & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0))
     rows = table.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
@@ -95,7 +103,7 @@ def vectors(table: DataFrame) -> DataFrame:
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy().reshape(len(column), -1)
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -145,39 +153,41 @@ def _group(keys: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _visit(tables: Tables, groups: int):
-    """Queries with the buckets they visit in each group."""
+    """Queries with the buckets they visit in each round and group."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"grp": [], "at": [], "buckets": []}
+            out: dict[str, list] = {"round": [], "grp": [], "at": [], "buckets": []}
             for at, query in enumerate(_matrix(batch.column("v")) if batch.num_rows else []):
-                keys = tables.probes(query)
-                group = _group(keys, groups)
-                order = np.argsort(group, kind="stable")
-                filled, first = np.unique(group[order], return_index=True)
-                out["grp"] += filled.tolist()
+                keys, rounds = tables.probes(query)
+                place = rounds * groups + _group(keys, groups)
+                order = np.argsort(place, kind="stable")
+                filled, first = np.unique(place[order], return_index=True)
+                out["round"] += (filled // groups).tolist()
+                out["grp"] += (filled % groups).tolist()
                 out["at"] += [at] * len(filled)
-                out["buckets"] += [x.tolist() for x in np.split(keys[order], first[1:])]
+                out["buckets"] += [np.sort(x).tolist() for x in np.split(keys[order], first[1:])]
             take = pa.array(out["at"], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out["grp"], pa.int64()), pa.array(out["buckets"], pa.list_(pa.int64())),
-                                              batch.column("vec_id").take(take), batch.column("v").take(take)], ["grp", "buckets", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(out["round"], pa.int32()), pa.array(out["grp"], pa.int64()),
+                                              pa.array(out["buckets"], pa.list_(pa.int64())), batch.column("vec_id").take(take),
+                                              batch.column("v").take(take)], ["round", "grp", "buckets", "vec_id", "v"])
     return task
 
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _compare(k: int):
-    """The best candidates of each query among those in the buckets it visits (all, if it names none)."""
+def _compare(k: int, tables: int):
+    """The best candidates of each query among those in the buckets it visits (all, if it names none) that reach its floor."""
     def task(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in FOUND}
         if len(queries) and len(candidates):
             order = np.argsort(candidates["bucket"].to_numpy(), kind="stable")
             bucket, points = candidates["bucket"].to_numpy()[order], _matrix(candidates["v"])[order]
             ids = candidates["ids"].take(pa.array(order)).to_pylist()
-            points_t = np.ascontiguousarray(points.T)
+            points_t, points_of = np.ascontiguousarray(points.T), _matrix(queries["v"])
             for row in range(len(queries)):
-                query = np.array(queries["v"][row].as_py())
-                own, visits = queries["vec_id"][row].as_py(), queries["buckets"][row].as_py()
+                query = points_of[row]
+                own, visits, floor = queries["vec_id"][row].as_py(), queries["buckets"][row].as_py(), queries["floor"][row].as_py()
                 if visits is None:
                     there = np.arange(len(bucket))
                     scores = query @ points_t
@@ -188,9 +198,12 @@ def _compare(k: int):
                         continue
                     there = np.concatenate([np.arange(a, b) for a, b in spans])
                     scores = np.concatenate([query @ points_t[:, a:b] for a, b in spans])
-                top = there[_best(scores, k + 1)]
+                # Tables share groups: one vector may stand here once for each table.
+                top = there[_best(scores, (k + 1) * tables)]
                 exact = (points[top] * query).sum(axis=1)
-                found = sorted((-s, i) for s, place in zip(exact.tolist(), top.tolist()) for i in ids[place] if i != own)[:k]
+                if floor is not None:
+                    top, exact = top[exact >= floor], exact[exact >= floor]
+                found = sorted({(-s, i) for s, place in zip(exact.tolist(), top.tolist()) for i in ids[place] if i != own})[:k]
                 out["query_id"] += [own] * len(found)
                 out["vec_id"] += [i for _, i in found]
                 out["score"] += [-s for s, _ in found]
@@ -198,16 +211,24 @@ def _compare(k: int):
     return task
 
 
-def _search(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """Compare both sides of each group, in parts of at most about PART rows each."""
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PART).alias(name))
+def _parts(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PART).alias(name))
 
-    sizes = parts(queries, "i_parts").join(parts(candidates, "j_parts"), "grp")
+
+def _search(queries: DataFrame, candidates: DataFrame, j_parts: DataFrame, k: int, tables: int) -> DataFrame:
+    """Compare both sides of each group, in parts of at most about PART rows each."""
+    sizes = _parts(queries, "i_parts").join(j_parts, "grp")
     every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
-    left = queries.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("vec_id"), "i_parts").alias("i"), every("j_parts").alias("j"), "vec_id", "v", "buckets")
+    left = queries.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("vec_id"), "i_parts").alias("i"), every("j_parts").alias("j"), "vec_id", "v", "buckets", "floor")
     right = candidates.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("ids"), "j_parts").alias("j"), every("i_parts").alias("i"), "bucket", "ids", "v")
-    return left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp", "i", "j")).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
+    return left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp", "i", "j")).applyInArrow(_compare(k, tables), "query_id long, vec_id long, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query so far."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96, tables: int = 4, width: float = 1.6) -> DataFrame:
@@ -218,7 +239,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.9
     candidates = saved(rows.distinct().withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("v").agg(
         F.sort_array(F.collect_list("vec_id")).alias("ids")), "candidates", folder)
     queries = rows.filter(is_query).dropDuplicates(["vec_id"])
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     count, longest, size = candidates.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v"))).first()
     if not count:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
@@ -229,17 +250,31 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.9
     shape = Tables(rng.standard_normal((tables, hashes, size + 1)), rng.uniform(0, width, (tables, hashes)), width,
                    _cosine(candidates, sample, longest, k), 1 - (1 - recall) ** (1 / tables), longest)
     groups = max(1, -(-count * tables // GROUP))
-    placed = candidates.mapInArrow(_place(shape, groups), "grp long, bucket long, ids array<long>, v array<double>")
-    visits = queries.mapInArrow(_visit(shape, groups), "grp long, buckets array<long>, vec_id long, v array<double>")
-    found = saved(_search(visits, placed, k), "found", folder)
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    kind = rows.schema["v"].dataType.simpleString()
+    placed = candidates.mapInArrow(_place(shape, groups), f"grp long, bucket long, ids array<long>, v {kind}")
+    sizes = saved(_parts(placed, "j_parts"), "sizes", folder)
+    visits = saved(queries.repartition("vec_id").mapInArrow(_visit(shape, groups), f"round int, grp long, buckets array<long>, vec_id long, v {kind}"), "visits", folder)
+    last = visits.agg(F.max("round")).first()[0]
+    best = None
+    for number in range(0 if last is None else last + 1):
+        now = visits.filter(F.col("round") == number)
+        if best is None:
+            now = now.withColumn("floor", F.lit(None).cast("double"))
+        else:
+            floor = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+            now = now.join(floor, "vec_id", "left")
+        found = _search(now, placed, sizes, k, tables)
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = saved(_ranked(found, k), f"best-{number}", folder)
+    if best is None:
+        return queries.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     # Few candidates in its buckets: such a query is compared with all vectors.
-    full = merged.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    full = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = queries.join(full, "vec_id", "left_anti")
     parts = max(1, -(-count // PART))
-    everywhere = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("grp"), "vec_id", "v", F.lit(None).cast("array<long>").alias("buckets"))
+    everywhere = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("grp"), "vec_id", "v",
+                              F.lit(None).cast("array<long>").alias("buckets"), F.lit(None).cast("double").alias("floor"))
     whole = candidates.select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("long").alias("grp"), F.lit(0).cast("long").alias("bucket"), "ids", "v")
-    rest = _search(everywhere, whole, k)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (merged.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    rest = _search(everywhere, whole, _parts(whole, "j_parts"), k, 1)
+    return _ranked(best.drop("rank").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
