@@ -56,7 +56,7 @@ def test_query_against_sql(name, spark):
 
 def test_queries_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(n) for n in range(1, 14)}
 
 
 # 4 -----------------------------------------------------------------------------------------------------------------

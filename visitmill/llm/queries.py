@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitmill.llm import ann, bpe, chat, exact_dedup, html, lang_id, line_dedup, mixing, ngram_join, substring_dedup
+from visitmill.llm import ann, bpe, chat, exact_dedup, html, lang_id, line_dedup, mixing, ngram_join, simhash, spelling, substring_dedup, whitening
 from visitmill.llm.shared import scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -115,6 +115,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.corpus_words(_table(spark, sf_dir, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_multiprobe_ann": op2_multiprobe_ann,
@@ -126,5 +138,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_simhash": op13_simhash,
 }
 SQL = {"op4_exact_dedup": OP4_SQL.strip(), "op8_line_dedup": OP8_SQL.strip()}

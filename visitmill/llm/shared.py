@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space as the contracts mean it: blank and \\t \\n \\v \\f \\r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -131,3 +132,54 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
 
 def arrow(table: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(table[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def tiles(batches: Iterator[pa.RecordBatch], key: str, tile: int, pack: int) -> Iterator[tuple[pa.Table, list, list]]:
+    """Rows in order of ``key``, as blocks of whole keys or, where one key holds more than ``tile`` rows, pieces of it.
+
+    Yields (block, packs, open): packs are row ranges made of whole keys, of about ``pack`` rows or one larger key; open lists (number,
+    start, end) of pieces of a key that may go on in another block or task. Numbers tell the pieces of a key apart.
+    """
+    held, last, begun = None, None, False
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        while held.num_rows > tile:
+            head = held.column(key).slice(0, tile + 1).to_numpy()
+            borders = np.flatnonzero(head[1:] != head[:-1]) + 1
+            cut = int(borders[-1]) if len(borders) else tile
+            block, held = held.slice(0, cut).combine_chunks(), held.slice(cut)
+            yield block, *_ranges(block, key, pack, not begun or block.column(key)[0].as_py() == last, not len(borders))
+            last, begun = block.column(key)[-1].as_py(), True
+    if held is not None and held.num_rows:
+        block = held.combine_chunks()
+        yield block, *_ranges(block, key, pack, not begun or block.column(key)[0].as_py() == last, True)
+
+
+def _ranges(block: pa.Table, key: str, pack: int, before: bool, after: bool) -> tuple[list, list]:
+    keys = block.column(key).to_numpy()
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)).tolist()
+    packs, start, to = [], 0, 0
+    for end in ends:
+        if end - start > pack and to > start:
+            packs.append((start, to))
+            start = to
+        to = end
+    packs.append((start, to))
+    pieces_ = {}
+    if before:
+        pieces_[0] = ends[0]
+    if after:
+        pieces_[ends[-2] if len(ends) > 1 else 0] = ends[-1]
+    return packs, [(uuid.uuid4().int >> 65, a, b) for a, b in pieces_.items()]
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row per ``key`` whose column n says how many rows the key has at least.
+
+    Keys with more than a thousandth of ``total`` rows are fewer than a thousand times (rows / total); they are joined by broadcast, so
+    that a hot key's rows never meet in one task. All others are joined by shuffle.
+    """
+    hot = table.filter(F.col("n") * 1000 > total)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop("n"), key)
+    return rows.join(F.broadcast(hot.drop("n")), key).unionByName(cold)
