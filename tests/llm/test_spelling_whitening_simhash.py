@@ -252,8 +252,8 @@ def linked(spark, codes, bits):
     return sorted(map(sorted, groups.values()))
 
 
-@pytest.mark.parametrize("bits", [1, 3])
-def test_gray_index_finds_every_link(bits, spark, monkeypatch):
+@pytest.mark.parametrize("bits,few", [(1, 64), (3, 10_000), (3, 2)])
+def test_gray_index_finds_every_link(bits, few, spark, monkeypatch):
     """Many codes share their front bits, so nodes have several levels; leaves of four codes."""
     rng = np.random.default_rng(bits)
     near = [int(c) for c in rng.integers(0, 1 << 18, 500)] + [2 * int(c) for c in rng.integers(0, 1 << 63, 60)]
@@ -261,6 +261,7 @@ def test_gray_index_finds_every_link(bits, spark, monkeypatch):
         near.append(c ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
     codes = sorted({0, simhash._ALL, *near})
     monkeypatch.setattr(simhash, "LEAF", 4)
+    monkeypatch.setattr(simhash, "FEW", few)
     root = brute_components(codes, bits)
     groups = collections.defaultdict(list)
     for c in codes:

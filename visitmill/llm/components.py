@@ -27,10 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before, number = state, number + 1
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _minimum(around).select("u", F.least("u", "m").alias("m"), "n")
-        large = (attach(around, least, "u", state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        small = attach(large, _minimum(large), "u", state[0])
-        small = (small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(small.select("u", F.col("m").alias("v")))).filter("u <> v").distinct()
-        now = saved(small, f"round{number}", folder)
+        least = saved(_minimum(around).select("u", F.least("u", "m").alias("m"), "n"), f"least{number}", folder)
+        large = saved(attach(around, least, "u", state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")),
+                      f"large{number}", folder)
+        small = attach(large, saved(_minimum(large), f"least_of_large{number}", folder), "u", state[0])
+        now = saved(small.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                                                  F.struct(F.col("u"), F.col("m").alias("v"))))).filter("u <> v").distinct(),
+                    f"round{number}", folder)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitmill.llm.components import components
-from visitmill.llm.shared import Words, arrow, mix, pieces, saved, scratch, words
+from visitmill.llm.shared import attach, Words, arrow, mix, pieces, saved, scratch, words
 
 BLOCK = 512
 #: Hash values that one signature may have at most.
@@ -200,10 +200,10 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
     buckets = saved(buckets.filter("n > 1").groupBy("n", "d1", "d2", "first").agg(F.min(F.struct("band", "h")).alias("b"))
                     .select("b.band", "b.h", "n", "first"), "buckets", folder)
     members = saved(spread.join(buckets, ["band", "h"]).select("band", "h", "n", "first", "node"), "members", folder)
-    roots = components(members.select(F.col("node").alias("u"), F.col("first").alias("v")))
+    roots = saved(components(members.select(F.col("node").alias("u"), F.col("first").alias("v"))), "roots", folder)
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
     whole = F.col("total") <= 16 * BLOCK
-    unit = roots.join(sizes, "root")
+    unit = attach(roots, sizes.withColumn("n", F.col("total")), "root", roots.count())
     units = unit.filter(whole).select(
         "node", F.col("root").alias("unit"), F.lit(-1).alias("band"), F.col("total").alias("n")).unionByName(
         members.join(unit.filter(~whole).select("node"), "node").select(
@@ -218,9 +218,10 @@ def ngram_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: flo
             .select("node", "bands", "size", "packed", F.explode("targets").alias("t"))
             .select("node", "bands", "size", "packed", "t.*"))
     links = saved(sent.groupBy("unit", "i", "j").applyInArrow(_verify(n, similarity), "node binary, peer binary, links long"), "links", folder)
-    group = components(links.select(F.col("node").alias("u"), F.col("peer").alias("v")))
-    first = group.join(classes.select("node", "copy_id"), "node").groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    result = (classes.select("node", "copy_id", "size").join(group.join(first, "root").select("node", "class_id"), "node", "left")
+    group = saved(components(links.select(F.col("node").alias("u"), F.col("peer").alias("v"))), "groups", folder)
+    first = group.join(classes.select("node", "copy_id"), "node").groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    grouped = attach(group, first, "root", group.count()).select("node", "class_id")
+    result = (classes.select("node", "copy_id", "size").join(grouped, "node", "left")
               .join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
               .select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
                       (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))

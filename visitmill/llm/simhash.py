@@ -32,8 +32,8 @@ from visitmill.llm.shared import attach, pieces, saved, scratch, tiles
 
 #: Fingerprints compared at once, and fewer where block values are rare.
 LEAF, PACK = 1024, 256
-#: Bits of the rank that one level of nodes adds.
-STEP = 6
+#: Bits of the rank that one level of nodes adds, and the number of leaves of a block value that need no nodes above them.
+STEP, FEW = 6, 64
 #: Bytes of a long text that are split into words at once.
 PART = 1 << 22
 
@@ -129,7 +129,7 @@ def _dealt(codes: DataFrame, bits: int) -> DataFrame:
 
 
 def _links(ranks: np.ndarray, groups: np.ndarray, bits: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (as they were before turning) of pairs within ``bits`` of each other that meet in no earlier block, thinned to a forest."""
+    """Codes (as they were before turning) of pairs within ``bits`` of each other that meet in no earlier block, thinned to a forest of stars."""
     edges = _edges(bits)
     turn = (groups >> 58).astype(np.int64)
     by = np.array(edges, dtype=np.uint64)[turn]
@@ -150,22 +150,19 @@ def _links(ranks: np.ndarray, groups: np.ndarray, bits: int, split: int | None =
 
 
 def _forest(codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the same codes, fewer than there are codes."""
-    if len(i) <= len(codes) // 2:
-        return codes[i], codes[j]
+    """Links that connect the same codes: each with the first of those it is connected to."""
     root = list(range(len(codes)))
-    kept = []
-    for x, y in zip(i.tolist(), j.tolist()):
-        a, b = x, y
+    for a, b in zip(i.tolist(), j.tolist()):
         while root[a] != a:
             root[a] = a = root[root[a]]
         while root[b] != b:
             root[b] = b = root[root[b]]
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            kept.append((x, y))
-    i, j = (np.array(c, dtype=np.int64) for c in zip(*kept))
-    return codes[i], codes[j]
+        root[max(a, b)] = min(a, b)
+    for k, r in enumerate(root):  # a root is never later than its own members
+        root[k] = root[r]
+    top = np.array(root)
+    member = np.flatnonzero(top != np.arange(len(top)))
+    return codes[member], codes[top[member]]
 
 
 def _found(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -216,10 +213,14 @@ def _differences(left: str, right: str) -> Column:
 
 def _leaf_pairs(leaves: DataFrame, bits: int, folder: str) -> DataFrame:
     """(grp, a, b): pairs of leaves of one block value that may hold codes within ``bits`` of each other, found from the top down."""
+    left = leaves.select("grp", F.col("leaf").alias("a"), F.col("every").alias("l_every"), F.col("any").alias("l_any"))
+    right = leaves.select("grp", F.col("leaf").alias("b"), F.col("every").alias("r_every"), F.col("any").alias("r_any"))
+    sizes = leaves.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    if sizes.filter(F.col("n") > FEW).isEmpty():
+        return left.join(right, "grp").filter((F.col("a") < F.col("b")) & (_differences("l_", "r_") <= bits)).select("grp", "a", "b")
     front = min(b - a for a, b in zip(_edges(bits), _edges(bits)[1:]))
     levels = [*range(front + STEP, 64, STEP), 64]
-    pairs = leaves.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "grp", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    pairs = sizes.filter("n > 1").select("grp", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     above = None
     for level in levels:
         node = F.shiftrightunsigned("leaf", 64 - level) if level < 64 else F.col("leaf")
@@ -244,9 +245,6 @@ def near_codes(codes: DataFrame, bits: int = 3) -> DataFrame:
     found = saved(dealt.mapInArrow(_within(bits), "u long, v long, grp long, leaf long, every long, any long, ranks array<long>"), "found", folder)
     links = found.filter("u IS NOT NULL").select("u", "v")
     leaves = found.filter("leaf IS NOT NULL").select("grp", "leaf", "every", "any", "ranks")
-    several = leaves.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if several.isEmpty():
-        return links
     pairs = _leaf_pairs(leaves.drop("ranks"), bits, folder)
     held = leaves.select("grp", "leaf", "ranks")
     both = (pairs.join(held.withColumnRenamed("leaf", "a"), ["grp", "a"])
