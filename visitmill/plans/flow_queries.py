@@ -20,7 +20,7 @@ from visitmill.plans.parse_queries import AGENT, DUCK, REQ, SPARK, _join, _s, li
 from visitmill.plans.registry import Registry
 from visitmill.plans.stat_queries import L_COLS, LATE
 from visitmill.session import shared_dir
-from visitmill.sources import exports, listing, tables, text
+from visitmill.sources import exports, listing, ranges, tables, text
 from visitmill.streaming import jobs
 from visitmill.streaming.store import BatchStore
 
@@ -76,6 +76,34 @@ q("scan_text_forced_gzip", lambda spark, sf: text.scan_text(
 q("scan_object_store", lambda spark, sf: text.scan_object_store(spark, _lines_folder(spark, sf), "part-*").select("value"),
   _LINES)
 
+def _grown(spark, sf):
+    """Files looked at twice: first when a third of each was written, then whole; the second look reads on where the first stopped."""
+    now = ranges.list_sizes(spark, f"{_lines_folder(spark, sf)}/a/plain/*.txt").select(
+        F.lit("logs").alias("source_id"), "path", "size", F.lit(0).cast("long").alias("mtime"), F.lit("").alias("etag"), F.lit(False).alias("compressed"))
+    before = now.withColumn("size", F.expr("size div 3"))
+    first = ranges.scan_ranges(before.select("path", F.lit(0).alias("start"), F.col("size").alias("end"), "compressed"), split=10_000)
+    state = before.join(first.groupBy("path").agg(F.max("next_offset").alias("offset")), "path", "left").fillna(0, ["offset"])
+    changes = listing.detect_changed_files(state.drop("compressed"), now)
+    return first.unionByName(ranges.scan_changes(changes, now, split=10_000)).select("value")
+
+
+q("scan_ranges", _grown, _LINES + " WHERE id % 2 = 0")
+
+
+def _followed(spark, sf):
+    """A stream stopped after half of the files and started again from its checkpoint when the others are there."""
+    def build(folder):
+        lines = spark.sql(_STREAM.replace("{clf}", SPARK["clf"]), log=access_log(spark, sf)).select("value", "id")
+        for half in range(2):
+            lines.filter(F.col("id") % 2 == half).select("value").write.mode("append").text(f"{folder}/in")
+
+            def each(batch, number):
+                batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={number}")
+            stream = ranges.stream_growing_files(spark, f"{folder}/in/*.txt", split="20000")
+            stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{once(spark, sf, 'followed', build)}/out").select("value")
+
+
 # A manifest per document, naming two files.
 _MANIFEST = """SELECT concat('{{"files":[{{"name":"/log/', CAST(doc_id AS STRING), '.log","bytes":', CAST(n_chars AS STRING),
  ',"mtime":', CAST(1700000000 + doc_id AS STRING), ',"etag":"', lang, '"}},{{"name":"/log/', CAST(doc_id AS STRING),
@@ -358,3 +386,4 @@ stream("stream_dedup", _dedup,
 q("stream_files", lambda spark, sf: _to_table(text.stream_files(spark, _stream_input(spark, sf), max_files=3), spark, "append")
   .select("value"), "SELECT value FROM (" + _STREAM.replace("{clf}", DUCK["clf"]).replace("{log}", "access_log")
   + ") UNION ALL SELECT '# comment' FROM access_log WHERE id % 100 = 0")
+q("stream_growing_files", _followed, "SELECT value FROM (" + _STREAM.replace("{clf}", DUCK["clf"]).replace("{log}", "access_log") + ")")

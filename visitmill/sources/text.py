@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitmill.sources import ranges
+
 LINES_PER_BATCH = 50_000
 
 
@@ -32,6 +34,11 @@ def scan_object_store(spark: SparkSession, prefix: str, name: str = "*", compres
 
 
 def _forced_gzip(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Unpacked as it is read, in files that tasks can open themselves; a file of another store passes through a row, up to 2 GB."""
+    first = path if isinstance(path, str) else path[0]
+    if ranges.is_readable(first.split("*")[0].rsplit("/", 1)[0] + "/"):
+        files = ranges.list_sizes(spark, path).select("path", F.lit(0).alias("start"), F.lit(None).alias("end"), F.lit(True).alias("compressed"))
+        return ranges.scan_ranges(files).select("value", "path")
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(_unpack, "value string, path string")
 
@@ -47,7 +54,8 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def stream_files(spark: SparkSession, folder: str, max_files: int = 1000, **options) -> DataFrame:
     """New files of a folder as a stream of lines; the checkpoint remembers what was read.
 
-    A file is read once, so logs must be rotated (or uploaded whole) into the folder rather than appended to.
+    A file is read once, so logs must be rotated (or uploaded whole) into the folder; ``ranges.stream_growing_files`` follows files that
+    are appended to.
     """
     return (spark.readStream.option("maxFilesPerTrigger", max_files).options(**options).text(folder)
             .select("value", F.col("_metadata.file_path").alias("path")))
