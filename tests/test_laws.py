@@ -56,7 +56,10 @@ def test_merged_halves_equal_the_whole(log):
 def test_merge_sessions_with_interleaved_rows(log):
     """New rows before, between and after the old ones."""
     old, new = log.filter("id % 3 <> 0"), log.filter("id % 3 = 0")
-    assert rows(ss.merge_sessions(old, new, ss.sessionize(old))) == rows(ss.sessionize(log))
+    merged = ss.merge_sessions(ss.session_blocks(old), ss.session_blocks(new))
+    assert rows(ss.sessions_of_blocks(merged)) == rows(ss.sessionize(log))
+    twice = ss.merge_sessions(ss.session_blocks(new.filter("id % 2 = 0")), ss.session_blocks(new.filter("id % 2 = 1")))
+    assert rows(ss.sessions_of_blocks(ss.merge_sessions(ss.session_blocks(old), twice))) == rows(ss.sessionize(log))
 
 
 def test_session_window_gives_the_same_counts(log):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitmill.operators.shared import lookup, page, pageviews, share
+from visitmill.operators.shared import page, pageviews, share
 from visitmill.plans.clock import Period, between, in_days, in_period, positive
 from visitmill.schema import SESSION_GAP, VISITOR, scope
 
@@ -98,23 +98,55 @@ def session_state(sessions: DataFrame) -> DataFrame:
         F.max_by("start_ts", "end_ts").alias("start_ts"), F.max("end_ts").alias("last_ts"))
 
 
-def merge_sessions(old_log: DataFrame, new_log: DataFrame, old_sessions: DataFrame,
-                   gap: int = SESSION_GAP) -> DataFrame:
-    """Sessions after new page views arrive: those of touched visitors are rebuilt, the others are kept.
+def chained(blocks: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
+    """Blocks of page views (slots, or sessions of other batches) joined to sessions that keep what later blocks need.
 
-    Only the span that new rows can reach is rebuilt: sessions that end more than one gap before the visitor's
-    first new page view stay as they are.
+    A block is a run of page views without a gap above ``gap``; blocks of one visitor may overlap and lie inside each other.
     """
-    keys = scope(new_log, *VISITOR)
-    touched = pageviews(new_log).groupBy(*keys).agg(F.min("timestamp").alias("since"))
-    marked = old_sessions.join(touched, keys, "left")
-    closed = F.col("since").isNull() | (F.col("end_ts") < F.col("since") - gap)
-    kept = marked.filter(closed).drop("since")
-    # The earliest start of a reopened session says how far back old rows are needed.
-    reach = marked.filter(~closed).groupBy(*keys).agg(F.min("start_ts").alias("since"))
-    old_views = lookup(pageviews(old_log), reach, keys, "inner").filter(F.col("timestamp") >= F.col("since"))
-    both = old_views.drop("since").unionByName(pageviews(new_log))
-    return kept.unionByName(sessionize(both, gap))
+    keys = scope(blocks, *VISITOR)
+    by_time = Window.partitionBy(*keys).orderBy("first_ts", "last_ts")
+    before = F.max("last_ts").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(before.isNull() | (F.col("first_ts") - before > gap), 1).otherwise(0)
+    numbered = blocks.withColumn("_starts", starts).withColumn(
+        "_no", F.sum("_starts").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_no").agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("pages").alias("pages"),
+        F.min_by("entry", F.struct("entry.timestamp", "entry.id")).alias("entry"),
+        F.max_by("exit", F.struct("exit.timestamp", "exit.id")).alias("exit")).drop("_no")
+
+
+def session_blocks(log: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
+    """Sessions in the form that later page views can be merged into."""
+    return chained(slot_rows(log, gap).drop("slot"), gap)
+
+
+def sessions_of_blocks(blocks: DataFrame) -> DataFrame:
+    return blocks.select(
+        *scope(blocks, *VISITOR), F.col("entry.domestic").alias("domestic"), F.col("entry.global").alias("global"),
+        F.col("first_ts").alias("start_ts"), F.col("last_ts").alias("end_ts"), F.col("entry.url").alias("entry_url"),
+        F.col("exit.url").alias("exit_url"), F.col("pages").alias("page_count"))
+
+
+def reopened(old: DataFrame, new: DataFrame, gap: int = SESSION_GAP) -> tuple[DataFrame, DataFrame]:
+    """Old blocks that new ones may touch, and those they cannot: of other visitors, or further away than the gap."""
+    keys = scope(new, *VISITOR)
+    touched = new.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("first_ts").alias("_low"), F.max("last_ts").alias("_high"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    marked = old.join(touched, same, "left")
+    near = F.coalesce((F.col("last_ts") >= F.col("_low") - gap) & (F.col("first_ts") <= F.col("_high") + gap), F.lit(False))
+    return marked.filter(near).select(*old.columns), marked.filter(~near).select(*old.columns)
+
+
+def merge_sessions(old: DataFrame, new: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
+    """Blocks of ``old`` and ``new`` as one: what new page views cannot reach stays as it is, the rest is joined again.
+
+    Old page views are not needed. A session is a block like any other: views that come late fall into it, extend it, or close the
+    gap between two. ``streaming.session_table`` keeps such blocks and reads only those that a batch may reach.
+    """
+    again, kept = reopened(old, new, gap)
+    return kept.unionByName(chained(again.unionByName(new), gap))
 
 
 # ---- session statistics -----------------------------------------------------------------------------------------

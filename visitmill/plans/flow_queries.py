@@ -22,6 +22,7 @@ from visitmill.plans.stat_queries import L_COLS, LATE
 from visitmill.session import shared_dir
 from visitmill.sources import exports, listing, ranges, tables, text
 from visitmill.streaming import jobs
+from visitmill.streaming.session_table import SessionTable
 from visitmill.streaming.store import BatchStore
 
 REG = Registry()
@@ -283,6 +284,17 @@ for _t, _sql in [("hourly", f"SELECT {hour()} AS bucket, {COUNTERS} FROM access_
     stream(f"stream_{_t}", lambda spark, sf, t=_t: jobs.table(spark, _tables(spark, sf), t), _sql)
 stream("stream_unique_ip", lambda spark, sf: jobs.table(spark, _tables(spark, sf), "hourly_ip"),
        f"SELECT DISTINCT {hour()} AS bucket, ip FROM {_SEEN}")
+def _session_table(spark, sf):
+    """Batches by id, so that each brings views of all days, the second one twice; three batches reopen sessions of the first."""
+    def build(folder):
+        made, log = SessionTable(spark, folder, buckets=2), access_log(spark, sf)
+        for number in (0, 1, 1, 2, 3):
+            made.update(log.filter(F.col("id") % 4 == number), number)
+        made.vacuum()
+    return SessionTable(spark, once(spark, sf, "session table", build)).sessions()
+
+
+stream("session_table", _session_table, "SELECT * FROM sessions", "sessions")
 stream("stream_sessions", lambda spark, sf: jobs.stream_sessions(spark, _tables(spark, sf)),
        "SELECT * FROM sessions",
        "waiting AS (SELECT * REPLACE ('待解析' AS domestic, '待解析' AS \"global\") FROM access_log)",

@@ -78,7 +78,7 @@ q("merge_set", _merged(agg.agg_daily_ip, agg.merge_set), "SELECT * FROM daily_ip
 
 def _merge_sessions(log):
     old, new = _halves(log)
-    return ss.merge_sessions(old, new, ss.sessionize(old))
+    return ss.sessions_of_blocks(ss.merge_sessions(ss.session_blocks(old), ss.session_blocks(new)))
 
 
 q("merge_sessions", _merge_sessions, "SELECT * FROM sessions", "sessions")
