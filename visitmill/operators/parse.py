@@ -1,6 +1,7 @@
-"""Raw lines to access-log records, as one projection per line.
+"""Raw lines to access-log records.
 
-All groups of a format are taken out with a single regular-expression pass: the line is rewritten to its groups,
+Steps that no filter repeats decide about a line (its groups, then time, address and status); the other columns follow as a plain
+projection, so refused lines never reach them and columns that nobody reads are not computed. All groups of a format are taken out with a single regular-expression pass: the line is rewritten to its groups,
 separated by a control character, and split. Lines that hold that character themselves take the slower
 group-by-group way.
 """
@@ -21,6 +22,7 @@ from visitmill.functions.text import (append_query, decode_url, optional_field,
                                       sanitize_columns)
 from visitmill.functions.times import (HAPROXY_LAYOUT, IIS_LAYOUT, epoch_number, parse_duration, parse_time,
                                        pattern_of)
+from visitmill.operators.agents import AgentTable
 from visitmill.plans.clock import epoch, wall_clock
 from visitmill.schema import ACCESS_LOG, DEDUP_MINUTES, PENDING, UNKNOWN
 
@@ -96,6 +98,8 @@ TOKENS = {
 _MARK = "\x01"
 _RAW = ["ip", "time", "method", "url", "query", "status", "bytes", "referer", "ua", "request", "request_length",
         "time_in_ms", "time_in_s", "upstream_time", "upstream_addr", "host", "request_id"]
+#: Fields that do not decide whether a line is good.
+_LATER = ["bytes", "request_length", "time_in_ms", "time_in_s", "upstream_time", "upstream_addr", "host", "request_id", "referer", "ua"]
 
 
 @dataclasses.dataclass(frozen=True)
@@ -162,33 +166,42 @@ def line_format(log_type: str = "", log_format: str = "", log_regex: str = "", l
     return made
 
 
-def _groups(made: LineFormat, line: Column) -> tuple[Column, dict[str, int]]:
-    """Array of the groups in use (NULL when the line does not match) and field -> array position."""
+def _groups(made: LineFormat, line: Column) -> tuple[Column, Column, dict[str, int]]:
+    """``_fast``, the array of the groups in use (NULL when the line does not match) made of it, and field -> array position."""
     numbers = {f: made.group_of(f) for f in _RAW}
     wanted = sorted({n for n in numbers.values() if n is not None})
     java = made.java_pattern
     # A user pattern may end in "$" already; the tail then matches nothing.
-    rewritten = F.regexp_replace(line, java + r"[\s\S]*", _MARK.join(f"${n}" for n in wanted))
-    fast = F.split(rewritten, _MARK, -1)
+    fast = F.split(F.regexp_replace(line, java + r"[\s\S]*", _MARK.join(f"${n}" for n in wanted)), _MARK, -1)
     slow = F.when(line.rlike(java), F.array(*[F.regexp_extract(line, java, n) for n in wanted]))
-    fast = F.when(F.size(fast) == len(wanted), fast)
-    return (F.when(line.contains(_MARK), slow).otherwise(fast),
-            {f: wanted.index(n) for f, n in numbers.items() if n is not None})
+    chosen = F.when(line.contains(_MARK), slow).when(F.size("_fast") == len(wanted), F.col("_fast"))
+    return fast, chosen, {f: wanted.index(n) for f, n in numbers.items() if n is not None}
+
+
+def apart(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later steps and filters read but never repeat: they leave through a one-element array.
+
+    The optimiser moves filters below projections and writes the projected expressions into them. Nothing moves below this step, so it
+    is for what every reader needs; columns that only some need belong after it, where they are dropped if nobody asks.
+    """
+    # First a projection, where common parts are computed once; the array then only holds its columns.
+    kept, ready = rows.columns, rows.withColumns({f"{n}0": c for n, c in columns.items()})
+    return ready.select(*kept, F.inline(F.array(F.struct(*[F.col(f"{n}0").alias(n) for n in columns]))))
 
 
 def raw_fields(lines: DataFrame, made: LineFormat, line: str = "value") -> DataFrame:
     """Adds ``_matched`` and one text column per field (``r_ip`` ...), blank where the format has none."""
     if made.json:
         return _json_fields(lines, line)
-    groups, at = _groups(made, F.col(line))
-    split = lines.withColumn("_g", groups)
+    fast, groups, at = _groups(made, F.col(line))
+    split = apart(lines.withColumn("_fast", fast), _g=groups).drop("_fast")
     fields = [F.coalesce(F.col("_g")[at[f]], F.lit("")) if f in at else F.lit("") for f in _RAW]
     return split.select(*lines.columns, F.col("_g").isNotNull().alias("_matched"),
                         *[c.alias(f"r_{f}") for f, c in zip(_RAW, fields)])
 
 
 def _json_fields(lines: DataFrame, line: str) -> DataFrame:
-    parsed = lines.withColumn("_v", F.try_parse_json(line))
+    parsed = apart(lines, _v=F.try_parse_json(line))
     v = F.col("_v")
 
     def text(*paths: str) -> Column:
@@ -243,12 +256,13 @@ def _request(raw: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame, made: LineFormat, *, line: str = "value", now: dt.datetime | None = None,
                 retention_days: int | None = None, rules: PageviewRules | None = None,
-                native_units: bool = False) -> DataFrame:
+                native_units: bool = False, agents: AgentTable | None = None) -> DataFrame:
     """Records with a ``parse_error`` column: NULL for good rows, else why the line is refused.
 
     ``retention_days`` refuses rows older than that; without it rows of any age are good, so that old logs can be read in.
     Columns of ``lines`` such as ``website_id`` or ``id`` are carried along. ``native_units`` reads a ``duration``
-    group without unit as milliseconds, which is what Envoy writes; by default it counts as seconds.
+    group without unit as milliseconds, which is what Envoy writes; by default it counts as seconds. With ``agents`` the labels of
+    user agents come from that table, which ``agents_of`` feeds; else the rules run on every line.
     """
     keep = [c for c in lines.columns if c != line]
     fields = _request(raw_fields(lines, made, line))
@@ -262,45 +276,45 @@ def parse_lines(lines: DataFrame, made: LineFormat, *, line: str = "value", now:
     in_ms = made.json or made.group_of("time_in_ms") is not None
     duration = F.when(F.col("r_time_in_ms") != "", parse_duration("r_time_in_ms", True)).otherwise(
         parse_duration("r_time_in_s", native_units)) if in_ms else parse_duration("r_time_in_s", native_units)
-    made_rows = fields.select(
-        *keep, line, "_matched", "_short", "r_ip", "r_time", "r_status", "_url", "r_ua",
-        ts.alias("timestamp"),
-        normalize_ip("r_ip").alias("ip"),
-        F.col("_method").alias("method"),
-        decode_url("_url").alias("url"),
-        F.col("r_status").try_cast("int").alias("status_code"),
-        parse_int("r_bytes").alias("bytes_sent"),
-        parse_int("r_request_length").alias("request_length"),
-        duration.alias("request_time_ms"),
-        parse_duration("r_upstream_time").alias("upstream_response_time_ms"),
-        optional_field("r_upstream_addr").alias("upstream_addr"),
-        optional_field("r_host").alias("host"),
-        optional_field("r_request_id").alias("request_id"),
-        decode_url("r_referer").alias("referer"),
-        classify_ua(F.when(F.col("r_ua") == "", "-").otherwise(F.col("r_ua"))).alias("_agent"),
-    )
     missing = (F.col("r_ip") == "") | (F.col("r_time") == "") | (F.col("r_status") == "") | (F.col("_url") == "")
-    reason = (F.when(~F.col("_matched"), "format").when(F.col("_short"), "request").when(missing, "missing field")
-              .when(F.col("timestamp").isNull(), "time").when(F.col("status_code").isNull(), "status")
-              .when((F.col("ip") == "") | (F.col("method") == ""), "missing field")
-              .when(F.col("status_code") <= 0, "status"))
+    # Two steps are not repeated: the groups of a line (above), and what decides whether it is refused. The rest is plain projection,
+    # which refused lines and unread columns never reach.
+    later = [f"r_{f}" for f in _LATER]
+    decided = apart(
+        fields.withColumn("_missing", missing), _ts=ts, _ip=normalize_ip("r_ip"), _status=F.col("r_status").try_cast("int"),
+        _verb=F.col("_method"), _path=F.col("_url"), _torn=F.col("_short")).select(
+        *keep, line, *later, "_matched", "_missing", "_ts", "_ip", "_status", F.col("_verb").alias("_method"), F.col("_path").alias("_url"),
+        F.col("_torn").alias("_short"))
+    reason = (F.when(~F.col("_matched"), "format").when(F.col("_short"), "request").when(F.col("_missing"), "missing field")
+              .when(F.col("_ts").isNull(), "time").when(F.col("_status").isNull(), "status")
+              .when((F.col("_ip") == "") | (F.col("_method") == ""), "missing field")
+              .when(F.col("_status") <= 0, "status"))
     if retention_days is not None:
         cutoff = epoch(now or wall_clock()) - retention_days * 86400
-        reason = reason.when(F.col("timestamp") < cutoff, "expired")
+        reason = reason.when(F.col("_ts") < cutoff, "expired")
     carried = [c for c in keep if c not in ("domestic", "global")]
-    record = [
-        *carried, line, "timestamp", "ip", "method", "url", "status_code", "bytes_sent", "request_length",
-        "request_time_ms", "upstream_response_time_ms", "upstream_addr", "host", "request_id", "referer",
-        F.col("_agent.browser").alias("browser"), F.col("_agent.os").alias("os"),
-        F.col("_agent.device").alias("device"),
-        *pending_location("ip"),
-        pageview_flag("status_code", "url", "ip", rules).alias("pageview_flag"),
-        reason.alias("parse_error"),
-    ]
-    # Rows leave through a one-element array. A filter on the record, such as "no error", would otherwise be
-    # pushed below every step above, which writes the whole parse into the filter and runs it several times.
-    rows = made_rows.select(*record)
-    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+    agent = _agent_text()
+    rows = decided.withColumn("url", decode_url("_url"))
+    rows = agents.label(rows, agent, line) if agents else rows.withColumn("_agent", classify_ua(agent))
+    return rows.select(
+        *carried, line, F.col("_ts").alias("timestamp"), F.col("_ip").alias("ip"), F.col("_method").alias("method"), "url",
+        F.col("_status").alias("status_code"), parse_int("r_bytes").alias("bytes_sent"),
+        parse_int("r_request_length").alias("request_length"), duration.alias("request_time_ms"),
+        parse_duration("r_upstream_time").alias("upstream_response_time_ms"),
+        optional_field("r_upstream_addr").alias("upstream_addr"), optional_field("r_host").alias("host"),
+        optional_field("r_request_id").alias("request_id"), decode_url("r_referer").alias("referer"),
+        F.col("_agent.browser").alias("browser"), F.col("_agent.os").alias("os"), F.col("_agent.device").alias("device"),
+        *pending_location("_ip"), pageview_flag("_status", "url", "_ip", rules).alias("pageview_flag"),
+        reason.alias("parse_error"))
+
+
+def _agent_text() -> Column:
+    return F.when(F.col("r_ua") == "", "-").otherwise(F.col("r_ua"))
+
+
+def agents_of(lines: DataFrame, made: LineFormat, line: str = "value") -> DataFrame:
+    """(agent) of all lines that match, for ``AgentTable.learn``; nothing else of a line is parsed for it."""
+    return raw_fields(lines, made, line).filter("_matched").select(_agent_text().alias("agent"))
 
 
 def good_rows(parsed: DataFrame, line: str = "value", limits: dict[str, int] | None = None) -> DataFrame:

@@ -11,12 +11,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from visitmill.operators import whitelist as wl
-from visitmill.operators.parse import dedup_stream, line_format
+from visitmill.operators.agents import AgentTable
+from visitmill.operators.parse import agents_of, dedup_stream, good_rows, line_format
 from visitmill.plans.clock import epoch
 from visitmill.plans.fixture import NOW, access_log
 from visitmill.plans.geo_queries import CACHE, CTES, FAILS, IPS, World, _FULL, _OCTET, RULES
 from visitmill.plans.oracle import COUNTERS, day, hour, over_log, sessions_of
-from visitmill.plans.parse_queries import AGENT, DUCK, REQ, SPARK, _join, _s, lines_of, lines_sql
+from visitmill.plans.parse_queries import (AGENT, DUCK, FORMATS, GOOD, REQ, SPARK, _join, _s, expected_sql, lines_of, lines_sql,
+                                            parsed)
 from visitmill.plans.registry import Registry
 from visitmill.plans.stat_queries import L_COLS, LATE
 from visitmill.session import shared_dir
@@ -284,6 +286,22 @@ for _t, _sql in [("hourly", f"SELECT {hour()} AS bucket, {COUNTERS} FROM access_
     stream(f"stream_{_t}", lambda spark, sf, t=_t: jobs.table(spark, _tables(spark, sf), t), _sql)
 stream("stream_unique_ip", lambda spark, sf: jobs.table(spark, _tables(spark, sf), "hourly_ip"),
        f"SELECT DISTINCT {hour()} AS bucket, ip FROM {_SEEN}")
+def _agent_table(spark, sf) -> AgentTable:
+    """Agents of the lines in two batches, the second one twice."""
+    def build(folder):
+        made, lines = AgentTable(spark, folder), lines_of(access_log(spark, sf), "nginx")
+        for number in (0, 1, 1):
+            made.learn(agents_of(lines.filter(F.col("id") % 2 == number), FORMATS["nginx"], "line"))
+        made.compact()
+    return AgentTable(spark, once(spark, sf, "agents", build))
+
+
+stream("agent_table", lambda spark, sf: _agent_table(spark, sf).table(),
+       f"SELECT DISTINCT {AGENT} AS agent, browser, os, device FROM access_log WHERE {GOOD}")
+stream("parse_with_agents", lambda spark, sf: good_rows(
+    parsed(access_log(spark, sf), "nginx", agents=_agent_table(spark, sf)), line="line"), expected_sql("nginx"))
+
+
 def _session_table(spark, sf):
     """Batches by id, so that each brings views of all days, the second one twice; three batches reopen sessions of the first."""
     def build(folder):

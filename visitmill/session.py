@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Methods above 8000 bytes are never compiled by the JVM; parsing then runs in smaller generated pieces instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
