@@ -118,9 +118,13 @@ def test_line_dedup_cases(docs, empty):
 def test_minimal_hash_is_perfect_and_minimal():
     import numpy as np
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
-    perfect = line_dedup.MinimalHash.build(keys)
-    assert sorted(perfect.find(keys)) == list(range(5000))
-    assert len(line_dedup.MinimalHash.build(keys[:0]).find(keys[:3])) == 3
+    perfect = line_dedup.MinimalHash.build(keys, keys[::-1])
+    assert sorted(perfect.find(keys, keys[::-1])) == list(range(5000))
+    assert len(line_dedup.MinimalHash.build(keys[:0], keys[:0]).find(keys[:3], keys[:3])) == 3
+    # Pairs that share one of the two hashes end as well.
+    same, other = np.array([5] * 300 + [9, 7, 8], dtype=np.uint64), np.array([*range(300), 1, 1, 1], dtype=np.uint64)
+    for a, b in ((same, other), (other, same)):
+        assert sorted(line_dedup.MinimalHash.build(a, b).find(a, b)) == list(range(303))
 
 
 # 6 -----------------------------------------------------------------------------------------------------------------

@@ -29,9 +29,9 @@ PROBES_PER_GROUP = 50_000
 
 
 class MinimalHash:
-    """Perfect hash of distinct 64-bit keys to 0..n-1: on each level, keys alone in their slot set a bit, the others go on.
+    """Perfect hash of distinct pairs of 64-bit numbers to 0..n-1: on each level, pairs alone in their slot set a bit, the others go on.
 
-    ``bits`` are the slots of all levels; a key's number is the count of set bits before its own.
+    A slot depends on both numbers, so pairs that share one part at last as well. ``bits`` are the slots of all levels; a key's number is the count of set bits before its own.
     """
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray) -> None:
@@ -39,26 +39,27 @@ class MinimalHash:
         self.rank = np.concatenate([[0], np.cumsum(bits)])
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> MinimalHash:
-        sizes, levels, left = [], [], keys
+    def build(cls, keys: np.ndarray, others: np.ndarray) -> MinimalHash:
+        sizes, levels, left, right = [], [], keys, others
         while len(left):
             size = 2 * len(left) + 1
-            slot = cls._slot(left, len(sizes), size)
+            slot = cls._slot(left, right, len(sizes), size)
             alone = np.bincount(slot, minlength=size) == 1
             sizes.append(size)
             levels.append(alone)
-            left = left[~alone[slot]]
+            left, right = left[~alone[slot]], right[~alone[slot]]
         return cls(np.array(sizes, dtype=np.int64), np.concatenate(levels) if levels else np.zeros(0, dtype=bool))
 
     @staticmethod
-    def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)).astype(np.int64)
+    def _slot(keys: np.ndarray, others: np.ndarray, level: int, size: int) -> np.ndarray:
+        own = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+        return (mix(own + others * np.uint64(2 * level + 1)) % np.uint64(size)).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key; a key that was not built in gets any number or -1."""
+    def find(self, keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The number of each pair; a pair that was not built in gets any number or -1."""
         out, left, base = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), 0
         for level, size in enumerate(self.sizes):
-            slot = base + self._slot(keys[left], level, int(size))
+            slot = base + self._slot(keys[left], others[left], level, int(size))
             hit = self.bits[slot]
             out[left[hit]] = self.rank[slot[hit]]
             left, base = left[~hit], base + int(size)
@@ -99,9 +100,9 @@ def _lines(min_chars: int):
 
 def _build(table: pa.Table) -> pa.Table:
     """The arrays of one shard."""
-    h1 = table["h1"].to_numpy().view(np.uint64)
-    perfect = MinimalHash.build(h1)
-    place = perfect.find(h1)
+    h1, h2 = (table[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+    perfect = MinimalHash.build(h1, h2)
+    place = perfect.find(h1, h2)
     order = np.empty(len(h1), dtype=np.int64)
     order[place] = np.arange(len(h1))
     keep = table["keep"].combine_chunks().take(pa.array(order))
@@ -130,7 +131,7 @@ def _probe(min_docs: int):
         prints, counts, keepers = (np.frombuffer(row[k], np.int64) for k in ("fingerprints", "counts", "keepers"))
         nobody = np.unpackbits(np.frombuffer(row["no_keeper"], np.uint8), count=len(prints)).astype(bool)
         h2 = probes["h2"].to_numpy()
-        place = MinimalHash(sizes, bits).find(probes["h1"].to_numpy().view(np.uint64))
+        place = MinimalHash(sizes, bits).find(probes["h1"].to_numpy().view(np.uint64), h2.view(np.uint64))
         known = (place >= 0) & (prints[place] == h2) & (counts[place] >= min_docs)
         docs = probes["doc_id"].combine_chunks()
         null = docs.is_null().to_numpy(zero_copy_only=False)
