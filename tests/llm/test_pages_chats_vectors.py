@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html as entities
 import re
+import time
 
 import numpy as np
 import pytest
@@ -28,6 +29,19 @@ TEXT = "The hill is not far from the river and it was a good day for all of them
     (f"<div class='cookie-notice'>{TEXT * 3}</div><div><p>{TEXT * 3}</p><p>short</p></div><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul>", f"{TEXT * 3}short"),
     (f"<article><p>{TEXT}</p><p>cut &am", f"{TEXT}cut &am"), (f"<article><p>{TEXT}</p><p>cut<", f"{TEXT}cut"), (f"<article><p>{TEXT}</p><p cl", TEXT.strip()),
     (f"<article><p>{TEXT * 2}</p><ul><li><a href=x>{TEXT}</a></li></ul><p hidden>{TEXT}</p><p class=comment>{TEXT}</p></article>", (TEXT * 2).strip()),
+    (f"<body><form id=aspnetForm><nav><a href=/>Home</a></nav><div><p>{TEXT * 3}</p><p>x</p></div><footer>f</footer></form>", f"{TEXT * 3}x"),
+    (f"<body><nav><a href=/>Home</a><a href=/b>B</a><article><p>{TEXT * 3}</p><p>x</p></article></body>", f"{TEXT * 3}x"),
+    (f"<body><nav><ul><li><a href=/>Home</a></ul><div><p>{TEXT * 3}</p></div>", (TEXT * 3).strip()),
+    (f"<form><nav><a href=/>Home</a><article><p>{TEXT * 3}</p></article>", (TEXT * 3).strip()),
+    (f"<body><aside><p>ad</p><article><p>{TEXT * 3}</p></article></body>", (TEXT * 3).strip()),
+    (f"<article><p>{TEXT * 3}</p></article><form><p>{TEXT * 9}</p></form><section id=comments><p>{TEXT * 9}</p>", (TEXT * 3).strip()),
+    (f"<p>Short one.</p><form><label>Name</label><p>{TEXT * 2}</p></form>", "Short one."),
+    (f"<main><h1>T</h1></main><div>{TEXT * 3}</div>", f"T {TEXT * 3}".strip()),
+    (f"<div class='search-engine-post'><p>{TEXT * 3}</p></div><div class='post-share-buttons'>{TEXT * 3}</div>", (TEXT * 3).strip()),
+    (f"<div class='related-posts'>{TEXT * 3}</div><div class='comments-open'><p>{TEXT * 3}</p></div><div id=cookieBanner>{TEXT * 3}</div>", (TEXT * 3).strip()),
+    ("<body><nav><a href=/>Home</a></nav><h1>Short</h1><p>A note.</p><div>Menu</div><footer>Foot.</footer>", "Short A note."),
+    (f"<article><p class=\"x>{TEXT}</p><p y'>z</p></article>", f"{TEXT}z"), (f"<article><button>x<p>{TEXT}</p></article>", f"x {TEXT}".strip()),
+    (f"<article><p title='a>b'>{TEXT}</p></article>", TEXT.strip()), (f"<article><p>a < b</p><p>{TEXT}</p></article>", f"a < b {TEXT}".strip()),
 ])
 def test_main_text(page, want):
     assert html.main_text(page) == want
@@ -38,6 +52,18 @@ def test_pages_of_any_size_take_linear_time():
     assert html.main_text(page) == " ".join([TEXT.strip()] * 20_000)
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a b='", "<b x=\"", "<a ='\"", "<nav>", "<div>x", "<div></ul>", "<!--", "<button>", "</p", "<p>&", "<",
+                                   "< ", "<form>x</nav>", "<li class=a>"])
+def test_hostile_pages_take_linear_time(piece):
+    """Ten million characters take ten times as long as one, not a hundred times."""
+    took = []
+    for size in (1_000_000, 10_000_000) if piece in ("<a ", "<b x=\"", "<!--", "</p") else (30_000, 300_000):
+        start = time.process_time()
+        html.main_text(piece * (size // len(piece)) + '"')
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * max(took[0], 0.05)
+
+
 def test_extraction_query(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.op3_html_extraction(spark, SF).collect()
