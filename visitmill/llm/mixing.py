@@ -3,8 +3,11 @@
 Method: soft membership. A naive Bayes classifier, learned from a labelled table, gives every document a posterior over the domains;
 the priors are the domains' shares of the labelled tokens, so that words which tell little leave those shares as they are.
 Projected-gradient least squares then finds a nonnegative rate for each document such that the expected tokens of each domain,
-sum(rate * tokens * posterior), meet their targets in relative squared error. A step needs one number per domain: one aggregation
-over the documents; rates are an expression of the posteriors and the steps so far, so nothing is carried from step to step.
+sum(rate * tokens * posterior), meet their targets in relative squared error. The gradient is preconditioned by the Gram matrix of
+the rows whose rate is not 0, domains by domains, so that few steps are needed; where such a step gains too little, it is halved, then
+replaced by a plain gradient step, which always gains. The descent ends when every target is met to CLOSE, or, where no rates meet
+them, when a plain step gains nothing any more: the rates are then those of least error. A step needs one aggregation over the
+documents. Rates are an expression of the posteriors and the latest steps, and are written out every few steps.
 
 Defined cases: null or empty text has no tokens and rate 1. Labels with a null id, a null domain or no document are unused, a document
 with several labels counts for each. A domain without labelled documents is unknown; without any, all documents get rate 1. Rows that
@@ -14,8 +17,10 @@ Output columns are those named below.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +28,12 @@ from visitmill.llm.shared import SPACE, saved, scratch
 
 #: Buckets of hashed words.
 WORDS = 8192
-STEPS = 40
-CLOSE = 0.002
+#: Largest relative error of a target that counts as met.
+CLOSE = 0.001
+#: Smallest relative gain of a plain step that is worth another one.
+GAIN = 1e-7
+#: Steps held in one expression before the rates are written out.
+HELD = 6
 
 
 def _tag() -> Column:
@@ -64,55 +73,83 @@ def posteriors(docs: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFra
                                *[(w / reduce(Column.__add__, weights)).alias(f"p{k}") for k, w in enumerate(weights)]), "posteriors", folder), domains
 
 
-def _rate(count: int, steps: list[list[float]]) -> Column:
-    """Start at 1, go every step against the gradient, stay at 0 or above."""
-    def moved(rate: Column, step: list[float]) -> Column:
-        return F.greatest(F.lit(0.0), rate - reduce(Column.__add__, [F.col(f"p{k}") * step[k] for k in range(count)]))
-    return reduce(moved, steps, F.lit(1.0)) if count else F.lit(1.0)
-
-
-def fit_rates(table: DataFrame, targets: list[float]) -> list[list[float]]:
-    """Steps of the descent. targets are tokens per domain."""
-    count, floor = len(targets), max(sum(targets), 1.0) * 1e-4
-    scale = [max(t, floor) for t in targets]
-    if not count:
-        return []
-    # The longest step that cannot overshoot, from two bounds of the Hessian's largest eigenvalue: its trace, and Gershgorin's.
-    gram = table.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{a}") * F.col(f"p{b}")), F.lit(0.0)).alias(f"g{a}_{b}")
-                       for a in range(count) for b in range(count)]).first()
-    trace = sum(gram[f"g{a}_{a}"] / scale[a] for a in range(count))
-    circles = max(sum(gram[f"g{a}_{b}"] / (scale[a] * scale[b]) ** 0.5 for b in range(count)) for a in range(count))
-    bound = max(min(trace, circles), 1e-12)
-    steps: list[list[float]] = []
-    for _ in range(STEPS):
-        rate = _rate(count, steps)
-        now = table.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{k}") * rate), F.lit(0.0)).alias(f"a{k}") for k in range(count)]).first()
-        off = [(now[k] - targets[k]) / scale[k] for k in range(count)]
-        if max(abs(x) for x in off) < CLOSE:
-            break
-        steps.append([x / bound for x in off])
-    return steps
+@dataclass
+class _State:
+    """Tokens per domain at a rate, and the Gram matrix of the posteriors of rows above 0, weighted by tokens."""
+
+    rate: Column
+    tokens: np.ndarray
+    gram: np.ndarray
+
+
+def _moved(rate: Column, step: np.ndarray) -> Column:
+    """Against the gradient, staying at 0 or above."""
+    return F.greatest(F.lit(0.0), rate - reduce(Column.__add__, [F.col(f"p{k}") * float(x) for k, x in enumerate(step)]))
+
+
+def _state(table: DataFrame, rate: Column, count: int) -> _State:
+    n, pairs = F.col("n_tokens"), [(a, b) for a in range(count) for b in range(a, count)]
+    sums = [F.sum(n * F.col(f"p{k}") * rate) for k in range(count)]
+    sums += [F.sum(F.when(rate > 0, n * F.col(f"p{a}") * F.col(f"p{b}"))) for a, b in pairs]
+    found = [x or 0.0 for x in table.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()]
+    gram = np.zeros((count, count))
+    for (a, b), x in zip(pairs, found[count:]):
+        gram[a, b] = gram[b, a] = x
+    return _State(rate, np.array(found[:count], dtype=float), gram)
+
+
+def fit_rates(table: DataFrame, targets: list[float], folder: str) -> DataFrame:
+    """table (n_tokens, p0, p1, ...) with a column rate. targets are tokens per domain."""
+    table = table.withColumn("rate", F.lit(1.0))
+    if not targets:
+        return table
+    want = np.array(targets, dtype=float)
+    scale = np.maximum(want, max(want.sum(), 1.0) * 1e-4)
+
+    def error(s: _State) -> float:
+        return float((((s.tokens - want) / scale) ** 2).sum())
+
+    now = _state(table, F.col("rate"), len(want))
+    # The longest plain step that cannot overshoot, from two bounds of the Hessian's largest eigenvalue: its trace, and Gershgorin's.
+    bound = max(min((np.diag(now.gram) / scale ** 2).sum(), (now.gram / np.outer(scale, scale)).sum(axis=1).max()), 1e-300)
+    held = written = 0
+    while np.abs((now.tokens - want) / scale).max() >= CLOSE:
+        off = (now.tokens - want) / scale
+        step = np.linalg.lstsq(now.gram / scale[:, None], off, rcond=1e-10)[0]
+        for share in (1.0, 0.5, 0.25):
+            new = _state(table, _moved(now.rate, share * step), len(want))
+            if error(new) <= (1 - share / 2) * error(now):
+                break
+        else:
+            new = _state(table, _moved(now.rate, off / scale / bound), len(want))
+            if error(new) > (1 - GAIN) * error(now):
+                break
+        now, held = new, held + 1
+        if held == HELD:
+            table = saved(table.withColumn("rate", now.rate), f"rates-{written}", folder)
+            now.rate, held, written = F.col("rate"), 0, written + 1
+    return table.withColumn("rate", now.rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(doc_id, tag, n_tokens, posterior, rate, copies): rate is the document's expected number of copies, copies a whole number
     with that expectation, drawn from a hash of doc_id and text. labels has doc_id and domain; posterior maps each domain."""
-    table, domains = posteriors(docs, labels, scratch(docs.sparkSession))
+    folder = scratch(docs.sparkSession)
+    table, domains = posteriors(docs, labels, folder)
     total = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     own = [max(0.0, weights.get(d, 0.0)) for d in domains]
-    targets = [float(total) * w / sum(own) for w in own] if sum(own) > 0 else []
-    steps = fit_rates(table, targets)
-    rate = F.when(F.col("n_tokens") == 0, 1.0).otherwise(_rate(len(targets), steps))
+    rated = fit_rates(table, [float(total) * w / sum(own) for w in own] if sum(own) > 0 and total else [], folder)
+    rate = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("rate"))
     chance = F.pmod(F.xxhash64("tag", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     posterior = F.map_from_arrays(F.array(*[F.lit(d) for d in domains]).cast("array<string>"), F.array(*[F.col(f"p{k}") for k in range(len(domains))]).cast("array<double>"))
-    return (table.select("doc_id", "tag", "n_tokens", posterior.alias("posterior"), rate.alias("rate"))
+    return (rated.select("doc_id", "tag", "n_tokens", posterior.alias("posterior"), rate.alias("rate"))
             .withColumn("copies", F.floor(F.col("rate") + chance).cast("long")))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> DataFrame:
     """The rows of docs, each as often as its copies say."""
-    copies = (mix(docs, labels, weights).groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
-              .agg(F.max("copies").alias("__copies")))
-    tagged = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return (tagged.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")))
-            .filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns))
+    copies = mix(docs, labels, weights).groupBy("doc_id", "tag").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"),
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_tag"))
+    return (rows.join(copies, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_tag") == F.col("tag"))).filter("copies > 0")
+            .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*"))
