@@ -11,7 +11,7 @@ from visitmill.operators import aggregates as agg
 from visitmill.operators import overall as ov
 from visitmill.operators import sessions as ss
 from visitmill.operators import whitelist as wl
-from visitmill.operators.ranges import match_ranges
+from visitmill.operators.ranges import dealt, match_ranges
 from visitmill.operators.shared import lookup
 from visitmill.plans import clock
 from visitmill.plans.fixture import NOW
@@ -106,6 +106,57 @@ def test_ranges_with_one_crowded_bucket(spark):
         assert got[f"00000000000000000000ffffcb00{i:04x}"] == (str(i // 50) if i % 50 < 40 else None)
 
 
+def _ranges_of(tree, lo=0, hi=255):
+    """Nested ranges from a list of nested fractions."""
+    out, at = [], lo
+    for skip, length, inner in tree:
+        a = at + skip
+        b = min(a + length, hi)
+        if a <= b:
+            out += [(a, b), *_ranges_of(inner, a, b)]
+            at = b + 1
+    return out
+
+
+TREE = st.recursive(st.just([]), lambda inner: st.lists(st.tuples(st.integers(0, 9), st.integers(0, 60), inner), max_size=4), max_leaves=12)
+
+
+@settings(max_examples=8, deadline=None)
+@given(TREE, st.integers(1, 9))
+def test_innermost_range_against_all_ranges(spark, tree, slices):
+    """Disjoint, nested, equal and one-address ranges, with a crowded address and keys that are no address."""
+    spans = [(lo, hi, f"{i:04d}") for i, (lo, hi) in enumerate(_ranges_of(tree))]
+    key = "20010db8" + "0" * 22 + "{:02x}"
+    keys = [(i, key.format(i)) for i in range(256)] + [(1000 + i, key.format(7)) for i in range(300)] + [(2000 + i, None) for i in range(9)]
+    table = spark.createDataFrame([(key.format(lo), key.format(hi), v) for lo, hi, v in spans] + [("f", "0", "empty"), (None, "f", "no")],
+                                  "lo string, hi string, v string")
+    got = {r.id: r.v for r in match_ranges(spark.createDataFrame(keys, "id int, ip_key string"), table, "v", slices=slices).collect()}
+    assert len(got) == len(keys)
+    for i, text in keys:
+        inside = [(hi - lo, -int(v), v) for lo, hi, v in spans if text and key.format(lo) <= text <= key.format(hi)]
+        assert got[i] == (min(inside)[2] if inside else None)
+
+
+def test_ranges_that_cross_are_refused(spark):
+    keys = spark.createDataFrame([("0" * 31 + "1",)], "ip_key string")
+    table = spark.createDataFrame([("0" * 31 + "1", "0" * 31 + "5", "a"), ("0" * 31 + "3", "0" * 31 + "9", "b")], "lo string, hi string, v string")
+    with pytest.raises(Exception, match="ranges cross at 0000"):
+        match_ranges(keys, table, "v", slices=1).collect()
+
+
+def test_slices_are_even_where_addresses_crowd(spark):
+    """Nine tenths of the addresses in one /16 of v6, a third of those one address; ranges nest there."""
+    crowd = spark.range(18000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN concat('20010db8', repeat('0', 23), '1') ELSE concat('20010db8', "
+                                          "lower(lpad(hex(xxhash64(id)), 16, '0')), repeat('0', 8)) END AS ip_key")
+    rest = spark.range(2000).selectExpr("id", "concat('00000000000000000000ffff', lower(lpad(hex(hash(id)), 8, '0'))) AS ip_key")
+    ranges = spark.createDataFrame([("2001" + "0" * 28, "2001" + "f" * 28, "outer"), ("20010db8" + "0" * 24, "20010db8" + "f" * 24, "inner"),
+                                    ("20010db8" + "8" + "0" * 23, "20010db88" + "f" * 23, "leaf")], "lo string, hi string, v string")
+    some, copies = dealt(crowd.unionByName(rest), ranges, slices=16)
+    sizes = [r["count"] for r in some.groupBy("_b").count().collect()]
+    assert sum(sizes) == 20000 and max(sizes) < 2 * 20000 / 16
+    assert copies.count() <= 3 * 16 + 3
+
+
 def test_whitelist_segments_against_all_rules():
     rules = wl.Whitelist(("10.0.0.0/8", "10.1.0.0/16", "10.1.2.3", "9.255.255.0-10.0.0.9", "10.1.2.0-10.1.2.9", "::/0"))
     flat = rules.address_rules()

@@ -13,6 +13,7 @@ from visitmill.operators import geo
 from visitmill.operators import sessions as ss
 from visitmill.operators import stats as st
 from visitmill.operators import whitelist as wl
+from visitmill.operators.ranges import match_ranges
 from visitmill.plans.clock import epoch
 from visitmill.plans.fixture import NOW, access_log, events
 from visitmill.plans.oracle import over_log, sessions_of
@@ -168,6 +169,30 @@ q("whitelist_hits", lambda w: wl.whitelist_hits(wl.whitelist_match(w.log, RULES)
 # ---- 2.9 geography ----------------------------------------------------------------------------------------------
 
 q("geo_lookup", lambda w: geo.geo_lookup(w.log, w.ranges), "SELECT * FROM located")
+# One v6 network holds all addresses: a block per supplier in it, and blocks of parts inside and between those.
+_CELL = "concat('20010db8', lpad(lower({hex}(%s)), 8, '0'), %s)"
+_LOW, _HIGH = "repeat('0', 16)", "repeat('f', 16)"
+_OWNERS = f"""SELECT {_CELL % ("s_suppkey * 50", _LOW)} AS lo, {_CELL % ("s_suppkey * 50 + 39", _HIGH)} AS hi, concat('s', CAST(s_suppkey AS STRING)) AS owner
+ FROM supplier UNION ALL SELECT {_CELL % ("p_partkey * 10 + 3", _LOW)}, {_CELL % ("p_partkey * 10 + 3", _HIGH)}, concat('p', CAST(p_partkey AS STRING))
+ FROM part UNION ALL SELECT concat('2001', repeat('0', 28)), concat('2001', repeat('f', 28)), concat('r', CAST(r_regionkey AS STRING))
+ FROM region WHERE r_regionkey = 2"""
+_HOSTS = f"SELECT o_orderkey, {_CELL % ('o_custkey * 3', 'lpad(lower({hex}(o_orderkey)), 16, ' + chr(39) + '0' + chr(39) + ')')} AS ip_key FROM orders"
+
+
+def _nested_ranges(spark, sf):
+    frames = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("supplier", "part", "region", "orders")}
+
+    def build(text, *names):
+        for n in names:
+            text = text.replace(f"FROM {n}", f"FROM {{{n}}}")
+        return spark.sql(text.replace("{hex}", "hex"), **{n: frames[n] for n in names})
+    return match_ranges(build(_HOSTS, "orders"), build(_OWNERS, "supplier", "part", "region"), "owner")
+
+
+REG.add("geo_nested_ranges", _nested_ranges, f"""WITH hosts AS ({_HOSTS}), owners AS ({_OWNERS}),
+ cells AS (SELECT substr(ip_key, 9, 8) AS cell, min(ip_key) AS ip_key FROM hosts GROUP BY 1),
+ inner_most AS (SELECT c.cell, max_by(owner, lo) AS owner FROM cells c JOIN owners o ON c.ip_key BETWEEN o.lo AND o.hi GROUP BY c.cell)
+ SELECT o_orderkey, ip_key, owner FROM hosts LEFT JOIN inner_most ON cell = substr(ip_key, 9, 8)""".replace("{hex}", "to_hex"))
 q("geo_format_api", lambda w: geo.geo_format_api(w.answers), 'SELECT ip, domestic, "global" FROM answered')
 
 _REGIONS = [("中国|0|广东省|深圳市|电信", "广东·深圳", "中国"), ("中国|0|0|0|0", "中国", "中国"),
