@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from visitmill.functions.net import ip_key, is_private_key
 from visitmill.functions.places import (format_answer, is_hidden, normalize_place, parse_region, province_label)
 from visitmill.operators.parse import pending_location
+from visitmill.operators.paging import Cursor, first_rows, page_and_more
 from visitmill.operators.ranges import match_ranges
-from visitmill.operators.shared import lookup, page
+from visitmill.operators.shared import lookup
 from visitmill.schema import GEO_COOLDOWN_HOURS, PENDING, UNKNOWN
 
 # Labels of local and private addresses.
@@ -148,8 +149,8 @@ def geo_cache_upsert(cache: DataFrame, entries: DataFrame, now: int) -> DataFram
 
 
 def geo_cache_trim(cache: DataFrame, limit: int) -> DataFrame:
-    """The newest ``limit`` entries by creation time."""
-    return cache.orderBy(F.desc("created_at"), "ip").limit(limit)
+    """The newest ``limit`` entries by creation time. Many entries are kept where they are, up to a last one found by selection."""
+    return first_rows(cache, [("created_at", True), ("ip", False)], limit)
 
 
 # ---- facts ------------------------------------------------------------------------------------------------------
@@ -236,25 +237,19 @@ def _selected(failures: DataFrame, log: DataFrame | None, reason: str, keyword:
     return rows if log is None else rows.join(log.select("ip").distinct(), "ip", "left_semi")
 
 
+FAILURE_ORDER = [("created_at", True), ("id", True)]
+
+
 def geo_failures(failures: DataFrame, log: DataFrame | None = None, reason: str = "", keyword: str = "",
-                 number: int = 1, size: int = 50) -> DataFrame:
-    """A page of failures, newest first. ``has_more`` says whether a next page exists; ``log`` restricts to a
-    site's addresses."""
+                 number: int = 1, size: int = 50, after: Cursor | None = None) -> DataFrame:
+    """A page of failures, newest first: the ``number``-th, or the one that follows the cursor ``after``. ``has_more`` says whether
+    a next page exists; ``log`` restricts to a site's addresses."""
     size = size if size > 0 else 50
     number = max(number, 1)
-    rows = _selected(failures, log, reason, keyword).orderBy(F.desc("created_at"), F.desc("id"))
-    # One row past the page tells whether there is more; numbering covers this page only.
-    shown = page_plus_one(rows, number, size)
+    shown = page_and_more(_selected(failures, log, reason, keyword), FAILURE_ORDER, number, size, after)
     return shown.select("id", "ip", "source", "reason", "error", "status_code", "created_at", "has_more")
 
 
-def page_plus_one(ordered: DataFrame, number: int, size: int) -> DataFrame:
-    skip = (number - 1) * size
-    whole = page(ordered, number, size)
-    beyond = (ordered.offset(skip + size)).limit(1).agg((F.count("*") > 0).alias("more"))
-    return whole.withColumn("has_more", beyond.scalar())
-
-
 def geo_failures_clear(failures: DataFrame, log: DataFrame | None = None, reason: str = "",
                        keyword: str = "") -> DataFrame:
     """What is left after deleting the selection."""

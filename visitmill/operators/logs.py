@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitmill.operators.aggregates import first_seen
-from visitmill.operators.shared import lookup, page
+from visitmill.operators.paging import Cursor, fetch, page, ways
+from visitmill.operators.shared import lookup
 from visitmill.plans.clock import between, one_of, period, positive, visitor_range
 from visitmill.schema import BOT, CHINA, LOG_COLUMNS
 
@@ -104,6 +105,7 @@ class LogQuery:
     sort_order: str = "desc"
     page: int = 1
     page_size: int = 100
+    after: Cursor | None = None
     wildcards: bool = False
     zone: str = "UTC"
 
@@ -170,19 +172,32 @@ def _selected(log: DataFrame, q: LogQuery, now: dt.datetime | None, seen: DataFr
     return rows
 
 
+def order_of(q: LogQuery) -> list[tuple[str, bool]]:
+    """The order of a search, for ``paging.next_cursor``."""
+    q = q.check()
+    return [(q.sort_field, q.sort_order == "desc"), ("id", q.sort_order == "desc")]
+
+
 def logs(log: DataFrame, q: LogQuery, now: dt.datetime | None = None, seen: DataFrame | None = None) -> DataFrame:
-    """One page of matching rows."""
+    """One page of matching rows: the ``page``-th, or the one that follows the cursor ``after``.
+
+    In time order the page is chosen by time and id alone, and whole rows are then read within its time bounds only. Other orders
+    scatter a page over the log, so there the rows come along.
+    """
     q = q.check()
     rows = _selected(log, q, now, seen)
     flags = [c for c in ("is_new_visitor",) if c in rows.columns]
     columns = [c for c in LOG_COLUMNS if c in rows.columns] + flags
     rows = rows.select(*columns)
-    if q.distinct_ip:
-        rows = latest_per_ip(rows)
-    ways = [F.desc, F.asc][q.sort_order == "asc"]
-    ordered = rows.orderBy(ways(q.sort_field), ways("id"))
+    order = order_of(q)
+    if q.sort_field == "timestamp":
+        keys = rows.select("ip", "timestamp", "id")
+        keys = page(latest_per_ip(keys) if q.distinct_ip else keys, order, q.page, q.page_size, q.after)
+        shown = fetch(rows, keys.select("timestamp", "id"), order).orderBy(*ways(order))
+    else:
+        shown = page(latest_per_ip(rows) if q.distinct_ip else rows, order, q.page, q.page_size, q.after)
     text = F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("time")
-    return page(ordered, q.page, q.page_size).select(*columns, text)
+    return shown.select(*columns, text)
 
 
 def logs_count(log: DataFrame, q: LogQuery, now: dt.datetime | None = None,

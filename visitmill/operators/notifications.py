@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitmill.operators.geo import page_plus_one
+from visitmill.operators.paging import Cursor, page_and_more
 
 # Texts of blank fields.
 DEFAULTS = {"level": "info", "category": "system", "title": "系统通知", "message": "-"}
@@ -43,11 +43,13 @@ def notification_rollup(table: DataFrame, events: DataFrame) -> DataFrame:
     return rolled.unionByName(single).unionByName(lone)
 
 
-def notification_list(table: DataFrame, unread_only: bool = False, number: int = 1, size: int = 20) -> DataFrame:
+def notification_list(table: DataFrame, unread_only: bool = False, number: int = 1, size: int = 20,
+                      after: Cursor | None = None) -> DataFrame:
     """A page of notifications, last occurred first; ``has_more`` says whether a next page exists."""
     size = size if size > 0 else 20
     rows = table.filter(F.col("read_at").isNull()) if unread_only else table
-    return page_plus_one(rows.orderBy(F.desc("last_occurred_at"), "fingerprint"), max(number, 1), size)
+    order = [("last_occurred_at", True), ("fingerprint", False)]
+    return page_and_more(rows, order, max(number, 1), size, after)
 
 
 def notification_unread(table: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitmill.operators.shared import page, pageviews, share
+from visitmill.operators.paging import Cursor, page
+from visitmill.operators.shared import pageviews, share
 from visitmill.plans.clock import Period, between, in_days, in_period, positive
 from visitmill.schema import SESSION_GAP, VISITOR, scope
 
@@ -205,13 +206,15 @@ def session_filters(log: DataFrame, start: int = 0, end: int = 0, ip: str = "",
     return rows
 
 
+SESSION_ORDER = [("start_ts", True), ("ip", False), ("browser", False), ("os", False), ("device", False)]
+
+
 def session_list(log: DataFrame, when: Period | None = None, number: int = 1, size: int = 100,
-                 **filters) -> DataFrame:
-    """Sessions of the filtered page views, newest first, one page."""
+                 after: Cursor | None = None, **filters) -> DataFrame:
+    """Sessions of the filtered page views, newest first: the ``number``-th page, or the one that follows the cursor ``after``."""
     positive("size", size)
     rows = session_filters(in_period(log, when) if when else log, **filters)
-    ordered = sessionize(rows).orderBy(F.desc("start_ts"), "ip", "browser", "os", "device")
-    return page(ordered, positive("number", number), size).select(
+    return page(sessionize(rows), SESSION_ORDER, positive("number", number), size, after).select(
         "ip", "domestic", "global", "device", "browser", "os", "start_ts", "end_ts",
         F.date_format(F.timestamp_seconds("start_ts"), "yyyy-MM-dd HH:mm:ss").alias("start_time"),
         (F.col("end_ts") - F.col("start_ts")).alias("duration_seconds"),

@@ -66,12 +66,6 @@ def share(part: Column | str, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole.cast("double")).otherwise(F.lit(0.0))
 
 
-def page(df: DataFrame, number: int, size: int) -> DataFrame:
-    """One page of an ordered frame; plans as a top-k, not as a full sort."""
-    skip = (number - 1) * size
-    return (df.offset(skip) if skip else df).limit(size)
-
-
 def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 

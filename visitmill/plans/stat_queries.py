@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from visitmill.functions import labels
 from visitmill.operators import aggregates as agg
 from visitmill.operators import logs as lg
 from visitmill.operators import overall as ov
+from visitmill.operators import paging
 from visitmill.operators import realtime as rt
 from visitmill.operators import sessions as ss
 from visitmill.operators import stats as st
@@ -409,6 +411,20 @@ q("logs", _logs(keyword="example", time_range="last30days", status_class="2xx",
 for _field in lg.SORT_FIELDS[1:]:
     q(f"logs_by_{_field}", _logs(sort_field=_field, sort_order="asc", page_size=300),
       f"SELECT {L_COLS}, {L_TIME} FROM access_log ORDER BY {_field}, id LIMIT 300")
+
+
+def _second_page(log):
+    """The page after the first, by the first one's cursor."""
+    asked = lg.LogQuery(pageview_only=True, page_size=250)
+    cursor = paging.next_cursor(lg.logs(log, asked, NOW), lg.order_of(asked))
+    return lg.logs(log, dataclasses.replace(asked, after=cursor), NOW)
+
+
+q("logs_after_cursor", _second_page, f"""SELECT {L_COLS}, {L_TIME} FROM access_log WHERE pageview_flag = 1
+  ORDER BY timestamp DESC, id DESC LIMIT 250 OFFSET 250""")
+q("logs_first_half", lambda log: paging.first_rows(log.select("id", "timestamp", "ip"), [("timestamp", False), ("id", True)], log.count() // 2),
+  """SELECT id, timestamp, ip FROM (SELECT *, row_number() OVER (ORDER BY timestamp, id DESC) AS rn, count(*) OVER () AS n FROM access_log)
+  WHERE rn <= n // 2""")
 q("logs_distinct_ip", _logs(distinct_ip=True, page_size=1000),
   f"""SELECT {L_COLS}, {L_TIME} FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY timestamp DESC, id DESC)
   AS rn FROM access_log) WHERE rn = 1 ORDER BY timestamp DESC, id DESC LIMIT 1000""")
