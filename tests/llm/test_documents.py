@@ -82,6 +82,19 @@ def test_exact_dedup_cases_and_second_batch(spark, docs, empty):
     assert reopened.rows().count() == len(groups) + 1
 
 
+def test_rows_of_a_common_text_go_apart(spark, monkeypatch):
+    """A text with a third of the rows, null and repeated doc_ids: the same rows with and without the split."""
+    docs = spark.range(3000).selectExpr("IF(id = 7, NULL, IF(id = 9, 12, id)) AS doc_id", "IF(id % 3 = 0, 'common text', concat('text ', id DIV 2)) AS text")
+    got = {}
+    for share in (10, 1):
+        monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
+        index = exact_dedup.DigestIndex(spark, f"digests_share{share}", f"{scratch(spark)}/index", 4)
+        out = exact_dedup.exact_dedup(docs, index)
+        got[share] = sorted(map(repr, out.select("doc_id", "keep_id", "group_size", "kept", "text").collect()))
+    assert got[10] == got[1] and len(got[1]) == 3000
+    assert sum("group_size=1000" in r and "keep_id=0" in r for r in got[10]) == 1000
+
+
 def test_exact_dedup_reads_its_index_in_order(spark, docs):
     index = exact_dedup.DigestIndex(spark, "digests_plan", f"{scratch(spark)}/index", 4)
     exact_dedup.exact_dedup(docs, index)

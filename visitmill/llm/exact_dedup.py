@@ -1,8 +1,8 @@
 """Exact duplicates against a persistent index of text digests; DataFrame and SQL functions only.
 
 The index is a Parquet table, bucketed and sorted by digest, one row per distinct text seen so far. A batch is reduced to one row
-per digest, merged against the index by an anti-join that reads the index without shuffling or sorting it, and what is new is
-appended.
+per digest, merged against the index by an anti-join that reads the index without shuffling it, and what is new is appended. Appending
+adds a file to each bucket, so a bucket is sorted again as it is read.
 
 Defined cases: null text counts as empty. Rows with a null doc_id take part; the smallest non-null doc_id of a group stays, null
 only if the group has no other. Rows that repeat a doc_id with the same text are told apart by nothing, so all rows that carry
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from visitmill.llm.shared import SPACE, saved, scratch
 
+HOT_SHARE = 1000
+
 
 def digest(text: str = "text") -> F.Column:
     """SHA-256 of the text in which each run of white space is one blank."""
@@ -52,6 +54,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     groups = saved(marks.groupBy("digest").agg(F.min("doc_id").cast("long").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups", folder)
     index.append_new(groups)
     known = groups.drop("keep_id").hint("merge").join(index.rows(), "digest")
-    # Every row of one text, a third of all perhaps, meets one row of ``known``: adaptive execution may split the larger side.
-    return (own.withColumn("digest", digest()).join(known, "digest", "left")
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+    marked = own.withColumn("digest", digest())
+    # Texts of more than 1/1000 of the rows are fewer than a thousand: their rows stay where they are, only the others are shuffled.
+    total = groups.agg(F.sum("group_size").alias("n")).scalar()
+    hot = F.broadcast(known.filter(F.col("group_size") * HOT_SHARE > total))
+    common = marked.join(hot, "digest")
+    others = marked.join(hot, "digest", "left_anti").join(known.hint("merge"), "digest")
+    return common.unionByName(others).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
