@@ -21,7 +21,9 @@ HOT_SHARE = 1000
 
 def digest(text: str = "text") -> F.Column:
     """SHA-256 of the text in which each run of white space is one blank."""
-    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), f"{SPACE}+", " "), 256))
+    plain = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), f"{SPACE}+", " ")
+    # Never null, and said to be so: joins would otherwise test it first, which is to compute it twice.
+    return F.coalesce(F.unhex(F.sha2(plain, 256)), F.lit(bytearray()))
 
 
 class DigestIndex:
