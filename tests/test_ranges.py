@@ -33,6 +33,36 @@ def test_splits_give_each_line_once(split, chunk, tmp_path):
     assert lines_of(ranges.splits(str(path), 0, 0, split), chunk) == []
 
 
+def test_small_splits_read_little_more_than_their_bytes(tmp_path, monkeypatch):
+    body = b"".join(b"line %d\n" % i for i in range(100_000))
+    path, read = tmp_path / "x.log", []
+    path.write_bytes(body)
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.seek, self.close = file, file.seek, file.close
+
+        def read(self, size):
+            read.append(size)
+            return self.file.read(size)
+
+    class Files:
+        def open_input_file(self, name):
+            return Counted(open(name, "rb"))
+
+    monkeypatch.setattr(ranges, "filesystem", lambda name: (Files(), name))
+    assert [v for v, _, _ in lines_of(ranges.splits(str(path), 0, len(body), 10_000))] == body.decode().split("\n")[:-1]
+    assert sum(read) < 2 * len(body)
+
+
+def test_splits_are_dealt_out_to_several_tasks(spark, tmp_path):
+    path = tmp_path / "x.log"
+    path.write_text("".join(f"line {i}\n" for i in range(1000)))
+    whole = spark.createDataFrame([(str(path), 0, path.stat().st_size, False)], "path string, start long, end long, compressed boolean")
+    got = ranges.scan_ranges(whole, split=100).withColumn("task", F.spark_partition_id())
+    assert got.agg(F.countDistinct("value"), F.count("*"), F.countDistinct("task") > 1).first() == (1000, 1000, True)
+
+
 def test_open_range_and_growth(spark, tmp_path):
     path = tmp_path / "grown.log"
     path.write_text("".join(f"line {i}\n" for i in range(1000)) + "begun")

@@ -25,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "value string, path string, offset long, next_offset long"
 #: Bytes read at once, and bytes of a range that one task reads.
 CHUNK, SPLIT = 8 << 20, 128 << 20
+#: Bytes read at first beyond the end of a split, for the rest of its last line; twice as many each time that was not enough.
+BEYOND = 4 << 10
 #: First bytes of a file, by which it is known again after a rotation, and how many are needed to follow it to another name.
 HEAD, TELLING = 64, 32
 
@@ -82,9 +84,11 @@ def read_range(part: FileRange, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
 
 def _lines(stream: pa.NativeFile, at: int, part: FileRange, behind: bool, chunk: int) -> Iterator[pa.RecordBatch]:
     """Lines of a stream that stands at offset ``at``; ``behind``: the first one belongs to the split before."""
-    begun, read, last = [], at, False
+    begun, read, last, beyond = [], at, False, BEYOND
     while not last and (part.end is None or at < part.end):
-        want = chunk if part.high is None else min(chunk, part.high - read)
+        # A split far smaller than a chunk reads little more than its own bytes.
+        want = chunk if part.end is None else min(chunk, max(part.end - read, 0) + beyond)
+        want, beyond = want if part.high is None else min(want, part.high - read), min(2 * beyond, chunk)
         now = stream.read(want) if want > 0 else b""
         read += len(now)
         last = not now
@@ -140,7 +144,9 @@ def scan_ranges(ranges: DataFrame, split: int = SPLIT, complete: bool = False) -
         "b", F.least("end", F.col("a") + split))
     none = F.lit(None).cast("long")
     packed = rows.filter("compressed").withColumns({"end": none, "a": F.col("start"), "b": none})
-    return plain.unionByName(packed).repartition("path", "a").mapInArrow(_read_all(complete), SCHEMA)
+    # Numbered, since a row is small whatever its split holds: without, adaptive execution would read all files in one task.
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plain.unionByName(packed).repartition(tasks, "path", "a").mapInArrow(_read_all(complete), SCHEMA)
 
 
 def scan_changes(changes: DataFrame, current: DataFrame, **options) -> DataFrame:
