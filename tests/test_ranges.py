@@ -154,6 +154,20 @@ def test_stream_follows_growth_rotation_rename_and_restart(spark, tmp_path):
     assert run(5) == sorted(written)            # nothing new
 
 
+def test_many_splits_make_a_bounded_number_of_tasks(spark, tmp_path):
+    parts = ranges.splits("x", 7, 100_007, 10) + [ranges.FileRange("y.gz", compressed=True)] + ranges.splits("z", 0, 95, 10)
+    tasks = ranges.dealt(parts, 50)
+    assert sorted((p for t in tasks for p in t.parts), key=str) == sorted(parts, key=str) and 50 <= len(tasks) <= 101
+    assert all(len(t.parts) == 1 or not any(p.compressed for p in t.parts) for t in tasks)
+    assert max(sum(p.end - p.start for p in t.parts) for t in ranges.dealt(parts, 50, most=300) if not t.parts[0].compressed) == 300
+    assert [len(t.parts) for t in ranges.dealt([ranges.FileRange("y.gz", compressed=True)] * 60, 50)] == [1] * 60
+    path = tmp_path / "x.log"
+    path.write_text("".join(f"line {i}\n" for i in range(1000)))
+    whole = ranges.read_range_of(spark, str(path), split="5")
+    assert sorted(r.value for r in whole.collect()) == sorted(f"line {i}" for i in range(1000))
+    assert whole.rdd.getNumPartitions() <= 2 * ranges.TASKS
+
+
 def test_follow_reads_a_longer_file_with_other_first_bytes_from_its_start():
     old = {"x": {"end": 40, "size": 40, "mtime": 1, "head": "aa" * 40, "packed": False}}
     new = {"x": {"end": 90, "size": 95, "mtime": 2, "head": "bb" * 64, "packed": False}}

@@ -27,6 +27,8 @@ SCHEMA = "value string, path string, offset long, next_offset long"
 CHUNK, SPLIT = 8 << 20, 128 << 20
 #: Bytes read at first beyond the end of a split, for the rest of its last line; twice as many each time that was not enough.
 BEYOND = 4 << 10
+#: Tasks of a look at files beyond which neighbouring splits are read by one task, while it holds no more than ``SPLIT`` bytes.
+TASKS = 64
 #: First bytes of a file, by which it is known again after a rotation, and how many are needed to follow it to another name.
 HEAD, TELLING = 64, 32
 
@@ -46,6 +48,13 @@ class FileRange(InputPartition):
     complete: bool = False
 
 
+@dataclasses.dataclass(frozen=True)
+class Ranges(InputPartition):
+    """What one task reads, range after range."""
+
+    parts: tuple[FileRange, ...] = ()
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")
@@ -66,6 +75,34 @@ def splits(path: str, low: int, high: int, size: int = SPLIT, complete: bool = F
     return [FileRange(path, a, min(a + size, high), low, high, False, complete) for a in range(low, high, size)]
 
 
+def dealt(parts: list[FileRange], tasks: int = TASKS, most: int = SPLIT) -> list[Ranges]:
+    """Splits as tasks, in order: one each or, of more than ``tasks`` of them, as many as together hold a share of the bytes.
+
+    A task costs far more than a small split, and its row in the plan, its answer and its output file are the driver's to hold. Packed
+    files, of unknown size, stay alone.
+    """
+    if len(parts) <= tasks:
+        return [Ranges((p,)) for p in parts]
+    share = min(most, -(-sum(p.end - p.start for p in parts if not p.compressed) // tasks))
+    out, held, filled = [], [], 0
+    for part in parts:
+        if part.compressed:
+            out.append(Ranges((part,)))
+            continue
+        if held and filled + part.end - part.start > share:
+            out.append(Ranges(tuple(held)))
+            held, filled = [], 0
+        held.append(part)
+        filled += part.end - part.start
+    return [*out, Ranges(tuple(held))] if held else out
+
+
+def read_ranges(task: Ranges | None) -> Iterator[pa.RecordBatch]:
+    """Lines of all ranges of a task; no files make one task of nothing."""
+    for part in task.parts if task else ():
+        yield from read_range(part)
+
+
 def read_range(part: FileRange, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     files, name = filesystem(part.path)
     if part.compressed:
@@ -205,8 +242,9 @@ class LineRanges(DataSource):
     """``spark.read.format("line_ranges")``: lines of files with their offsets; register with ``spark.dataSource.register``.
 
     Options: ``path`` (file, folder or pattern), ``start`` and ``end`` (bytes), ``complete`` (also a last line without end),
-    ``split`` (bytes per task), ``compression`` (auto, gz, none). As a stream (``readStream``) the checkpoint holds for every file how
-    far it was read: files may grow, be rotated (known by a smaller size or other first bytes) or be renamed while they are followed.
+    ``split`` (bytes per task, or more where that makes over ``TASKS`` tasks), ``compression`` (auto, gz, none). As a stream
+    (``readStream``) the checkpoint holds for every file how far it was read: files may grow, be rotated (known by a smaller size or
+    other first bytes) or be renamed while they are followed.
     A rotated file starts over, a renamed one goes on where it was; a packed file that changes is read again whole. What was appended
     and then removed between two looks at the folder is not seen.
     """
@@ -234,7 +272,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[Ranges]:
         start, end = int(self.options.get("start", 0)), int(self.options.get("end", 0))
         complete = self.options.get("complete", "false").lower() == "true"
         out = []
@@ -243,10 +281,10 @@ class _Reader(DataSourceReader):
                 out.append(FileRange(path, start, low=start, compressed=True, complete=True))
             else:
                 out += splits(path, start, min(size, end) if end > 0 else size, int(self.options.get("split", SPLIT)), complete)
-        return out
+        return dealt(out)
 
-    def read(self, partition: FileRange | None) -> Iterator[pa.RecordBatch]:
-        return read_range(partition) if partition else iter(())  # no files: one partition of nothing
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        return read_ranges(partition)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -271,11 +309,11 @@ class _StreamReader(DataSourceStreamReader):
         self.known = now
         return now
 
-    def partitions(self, start: dict, end: dict) -> list[FileRange]:
-        return follow(start, end, int(self.options.get("split", SPLIT)))
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return dealt(follow(start, end, int(self.options.get("split", SPLIT))))
 
-    def read(self, partition: FileRange | None) -> Iterator[pa.RecordBatch]:
-        return read_range(partition) if partition else iter(())  # no files: one partition of nothing
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        return read_ranges(partition)
 
     def commit(self, end: dict) -> None:
         """Nothing is held back for finished batches."""
