@@ -3,10 +3,12 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from conftest import SF
 from test_laws import rows
 
 from visitmill.operators import aggregates as agg
 from visitmill.operators import sessions as ss
+from visitmill.plans import flow_queries
 from visitmill.streaming import jobs
 from visitmill.streaming.store import BatchStore
 
@@ -63,3 +65,12 @@ def test_closed_sessions_and_sliding_visitors(spark, log, tmp_path):
     exact = log.filter(f"pageview_flag = 1 AND timestamp >= {ts} AND timestamp < {ts + 1800}").select("ip").distinct().count()
     found = last.filter(F.unix_seconds("window.start") == ts).select("active").collect()
     assert (found[0][0] if found else 0) == exact
+
+
+def test_geo_cache_is_made_once_for_all_batches(spark):
+    """Batches look into a stored cache; none of them groups the whole log again."""
+    cache, _ = flow_queries._geo_world(spark, SF)
+    text = cache._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text and "events.parquet" not in text
+    again, _ = flow_queries._geo_world(spark, SF)
+    assert again.inputFiles() == cache.inputFiles() and cache.count() > 0

@@ -334,11 +334,13 @@ stream("stream_compaction", _compacted, f"SELECT {day()} AS day, {COUNTERS} FROM
 
 
 def _geo_world(spark, sf):
-    """Cache and queue keyed by the addresses of the streamed log."""
-    log = access_log(spark, sf)
-    addresses = log.groupBy("ip").agg(F.min("id").alias("k"), F.min("timestamp").alias("first_ts"),
-                                      F.max("timestamp").alias("last_ts"))
-    cache = spark.sql(CACHE.replace("FROM addresses", "FROM {addresses}"), addresses=addresses)
+    """Cache and queue keyed by the addresses of the streamed log; the cache is stored, as every batch looks into it more than once."""
+    def build(folder):
+        log = access_log(spark, sf)
+        addresses = log.groupBy("ip").agg(F.min("id").alias("k"), F.min("timestamp").alias("first_ts"),
+                                          F.max("timestamp").alias("last_ts"))
+        spark.sql(CACHE.replace("FROM addresses", "FROM {addresses}"), addresses=addresses).write.parquet(folder)
+    cache = spark.read.parquet(once(spark, sf, "geo cache", build))
     return cache, spark.createDataFrame([], "ip string, created_at long, updated_at long")
 
 
