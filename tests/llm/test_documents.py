@@ -366,3 +366,16 @@ def test_mixing_cases(spark, docs, empty):
 def test_mixing_plan_is_native(spark):
     plan = queries.op7_mixing(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_substring_blocks_hold_enough_to_compress():
+    """Strings wait until a block of each bucket holds 2 MB here, in few blocks that unpack to what went in."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 1000)) for _ in range(1200)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1200), pa.int64()), "text": texts})
+    blocks = list(substring_dedup._cut(20, 8)(iter([docs])))
+    held = sum(b.column("text").nbytes for b in substring_dedup._unpack(iter(blocks)))
+    assert 16 << 20 < held < 32 << 20 and sum(b.num_rows for b in blocks) == 16

@@ -29,8 +29,8 @@ GRAM = 4
 #: Different strings of one minimiser that a task holds at once.
 MANY = 20_000
 NULL_ID = -(1 << 63)
-#: Bytes of strings that wait to be compressed together.
-BLOCK = 8 << 20
+#: Bytes of strings that wait to be compressed together, and how hard: blocks of few strings compress badly, and they are most of the shuffle.
+BLOCK, LEVEL = 16 << 20, 6
 
 BLOCKS = pa.schema([("p", pa.int64()), ("block", pa.binary())])
 STRINGS = pa.schema([("mini", pa.int64()), ("text", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32())])
@@ -49,7 +49,7 @@ def _tag(text: str | None) -> int:
 
 def _blocks(waiting: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
     """One compressed block for each bucket: numbers of all strings, then their text."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
     while waiting:
         out: dict[str, list] = {"p": [], "block": []}
         for bucket in list(waiting)[:256]:
