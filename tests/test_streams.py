@@ -8,7 +8,10 @@ from test_laws import rows
 
 from visitmill.operators import aggregates as agg
 from visitmill.operators import sessions as ss
+from visitmill.operators.agents import AgentTable
 from visitmill.plans import flow_queries
+from visitmill.plans import parse_queries as pq
+from visitmill.plans.fixture import NOW
 from visitmill.streaming import jobs
 from visitmill.streaming.store import BatchStore
 
@@ -74,3 +77,36 @@ def test_geo_cache_is_made_once_for_all_batches(spark):
     assert "Aggregate" not in text and "events.parquet" not in text
     again, _ = flow_queries._geo_world(spark, SF)
     assert again.inputFiles() == cache.inputFiles() and cache.count() > 0
+
+
+def test_agents_of_a_batch_are_classified_once(spark, log, tmp_path):
+    """Lines look their agent up; the table grows by new texts only, and records are those of the plain parse."""
+    lines, made, got = pq.lines_of(log, "nginx"), pq.FORMATS["nginx"], []
+    table = AgentTable(spark, str(tmp_path))
+    run = jobs.parse_batch(made, table, lambda records, number: got.append(records), "line", now=NOW)
+    odd = lines.select(F.col("id") + 1_000_000, F.regexp_replace("line", '"[^"]*"$', '"curl/8.0.1"').alias("line")).limit(300)
+    sizes = []
+    for number, part in enumerate([lines, lines.unionByName(odd.toDF("id", "line")), lines]):
+        run(part, number)
+        sizes.append(table.table().count())
+        assert rows(got[-1]) == rows(jobs.stream_parse(part, made, "line", now=NOW))
+    assert sizes[1:] == [sizes[0] + 1] * 2 and "BroadcastHashJoin" in got[-1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streamed_queries_hand_on_looked_up_agents(spark):
+    seen = []
+
+    def make_batch(store):
+        return lambda records, number: seen.append(records._jdf.queryExecution().executedPlan().toString())
+    flow_queries._streamed(spark, SF, "plans of batches", make_batch)
+    assert len(seen) == 4 and all("BroadcastHashJoin" in text for text in seen)
+
+
+def test_contributions_are_made_from_the_stored_facts(spark, log, tmp_path, monkeypatch):
+    """No batch is held in memory; what is added up is what was stored."""
+    seen, made = [], jobs.contributions
+    monkeypatch.setattr(jobs, "contributions", lambda rows: seen.append(rows) or made(rows))
+    batch = log.filter("id % 2 = 0")
+    jobs.write_batch(BatchStore(str(tmp_path / "store")))(batch, 7)
+    assert not batch.is_cached and all("/store/facts/batch_id=7/" in name for name in seen[0].inputFiles())
+    assert rows(seen[0]) == rows(batch)

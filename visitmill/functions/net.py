@@ -31,12 +31,15 @@ def normalize_ip(raw: Column | str) -> Column:
 
 def clean_ip(raw: Column | str) -> Column:
     """The stricter form used by filters: first non-blank entry, brackets and port removed."""
-    listed = F.regexp_extract(_col(raw), r"^[\s,]*([^,]*[^,\s])?", 1)
+    raw = _col(raw)
+    listed = F.regexp_extract(raw, r"^[\s,]*([^,]*[^,\s])?", 1)
     text = F.trim(listed)
     inside = F.regexp_extract(text, r"^\[([^\]]+)\]", 1)
     bare = F.when(inside != "", inside).otherwise(text)
     colons = F.length(bare) - F.length(F.replace(bare, F.lit(":"), F.lit("")))
-    return F.when((colons == 1) & ~bare.startswith(":"), F.split_part(bare, F.lit(":"), F.lit(1))).otherwise(bare)
+    cut = F.when((colons == 1) & ~bare.startswith(":"), F.split_part(bare, F.lit(":"), F.lit(1))).otherwise(bare)
+    # A plain address has nothing to remove; the steps above repeat their inputs many times.
+    return F.when(~raw.rlike(r"[\s,\[:]"), raw).otherwise(cut)
 
 
 def is_v4(ip: Column | str) -> Column:
@@ -93,6 +96,7 @@ def is_private_key(key: Column) -> Column:
 def is_private_ip(ip: Column | str) -> Column:
     """Loopback, link-local, private v4 blocks and fc00::/7; text that is no address is not private."""
     def rule(text: Column) -> Column:
-        return F.when(is_v4(text), text.rlike(PRIVATE_V4)).when(
+        # The head is looked at first, as it settles most addresses at their first digits.
+        return F.when(text.rlike(PRIVATE_V4) & is_v4(text), True).when(
             text.contains(":"), let(ip_key(text), is_private_key)).otherwise(False)
     return let(_col(ip), rule)

@@ -166,9 +166,9 @@ def line_format(log_type: str = "", log_format: str = "", log_regex: str = "", l
     return made
 
 
-def _groups(made: LineFormat, line: Column) -> tuple[Column, Column, dict[str, int]]:
+def _groups(made: LineFormat, line: Column, fields: list[str]) -> tuple[Column, Column, dict[str, int]]:
     """``_fast``, the array of the groups in use (NULL when the line does not match) made of it, and field -> array position."""
-    numbers = {f: made.group_of(f) for f in _RAW}
+    numbers = {f: made.group_of(f) for f in fields}
     wanted = sorted({n for n in numbers.values() if n is not None})
     java = made.java_pattern
     # A user pattern may end in "$" already; the tail then matches nothing.
@@ -189,11 +189,13 @@ def apart(rows: DataFrame, **columns: Column) -> DataFrame:
     return ready.select(*kept, F.inline(F.array(F.struct(*[F.col(f"{n}0").alias(n) for n in columns]))))
 
 
-def raw_fields(lines: DataFrame, made: LineFormat, line: str = "value") -> DataFrame:
-    """Adds ``_matched`` and one text column per field (``r_ip`` ...), blank where the format has none."""
+def raw_fields(lines: DataFrame, made: LineFormat, line: str = "value", wanted: list[str] | None = None) -> DataFrame:
+    """Adds ``_matched`` and one text column per field (``r_ip`` ...), blank where the format has none. With ``wanted``, patterns
+    fill only the fields it names and those that tell whether a line matches."""
     if made.json:
         return _json_fields(lines, line)
-    fast, groups, at = _groups(made, F.col(line))
+    # A line that does not match stays in one piece, so two groups are the fewest that tell it from one that does.
+    fast, groups, at = _groups(made, F.col(line), _RAW if wanted is None else ["ip", "time", *wanted])
     split = apart(lines.withColumn("_fast", fast), _g=groups).drop("_fast")
     fields = [F.coalesce(F.col("_g")[at[f]], F.lit("")) if f in at else F.lit("") for f in _RAW]
     return split.select(*lines.columns, F.col("_g").isNotNull().alias("_matched"),
@@ -314,7 +316,7 @@ def _agent_text() -> Column:
 
 def agents_of(lines: DataFrame, made: LineFormat, line: str = "value") -> DataFrame:
     """(agent) of all lines that match, for ``AgentTable.learn``; nothing else of a line is parsed for it."""
-    return raw_fields(lines, made, line).filter("_matched").select(_agent_text().alias("agent"))
+    return raw_fields(lines, made, line, ["ua"]).filter("_matched").select(_agent_text().alias("agent"))
 
 
 def good_rows(parsed: DataFrame, line: str = "value", limits: dict[str, int] | None = None) -> DataFrame:

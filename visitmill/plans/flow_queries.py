@@ -254,15 +254,25 @@ def _stream_input(spark, sf):
     return once(spark, sf, "stream lines", build)
 
 
+def _stream_lines(spark, sf):
+    return text.stream_files(spark, _stream_input(spark, sf), max_files=3)
+
+
+def _numbered(records):
+    return records.withColumn("id", F.substring("request_id", 5, 20).cast("long"))
+
+
 def _records(spark, sf):
-    made = jobs.stream_parse(text.stream_files(spark, _stream_input(spark, sf), max_files=3), _STREAM_FORMAT, now=NOW)
-    return made.withColumn("id", F.substring("request_id", 5, 20).cast("long"))
+    return _numbered(jobs.stream_parse(_stream_lines(spark, sf), _STREAM_FORMAT, now=NOW))
 
 
 def _streamed(spark, sf, what, make_batch) -> BatchStore:
+    """Batches of lines, parsed with a table of user agents that grows from batch to batch."""
     def build(folder):
-        store = BatchStore(folder)
-        query = jobs.start(_records(spark, sf), make_batch(store), f"{folder}-checkpoint")
+        each = make_batch(BatchStore(folder))
+        run = jobs.parse_batch(_STREAM_FORMAT, AgentTable(spark, f"{folder}-agents"),
+                               lambda records, number: each(_numbered(records), number), now=NOW)
+        query = jobs.start(_stream_lines(spark, sf), run, f"{folder}-checkpoint")
         query.awaitTermination()
     return BatchStore(once(spark, sf, what, build))
 

@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from visitmill.operators import aggregates as agg
 from visitmill.operators import sessions as ss
+from visitmill.operators.agents import AgentTable
 from visitmill.operators.geo import geo_backfill, geo_enqueue, geo_mark_pending
-from visitmill.operators.parse import LineFormat, good_rows, parse_lines
+from visitmill.operators.parse import LineFormat, agents_of, good_rows, parse_lines
 from visitmill.operators.shared import pageviews
 from visitmill.operators.whitelist import Whitelist, whitelist_hits, whitelist_match
 from visitmill.plans.clock import epoch, wall_clock
@@ -22,6 +23,15 @@ def stream_parse(lines: DataFrame, made: LineFormat, line: str = "value", **opti
     return good_rows(parse_lines(lines, made, line=line, **options), line=line)
 
 
+def parse_batch(made: LineFormat, agents: AgentTable, each, line: str = "value", **options):
+    """A ``foreachBatch`` function over lines that hands their records to ``each``. User agents new to ``agents`` are classified
+    first, each text once; lines look theirs up. A repeated batch teaches nothing new and gives the same records."""
+    def run(lines: DataFrame, batch_id: int) -> None:
+        agents.learn(agents_of(lines, made, line))
+        each(stream_parse(lines, made, line, agents=agents, **options), batch_id)
+    return run
+
+
 # ---- contributions of one micro-batch ---------------------------------------------------------------------------
 
 def minute_ip(log: DataFrame) -> DataFrame:
@@ -38,17 +48,21 @@ def contributions(batch: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_batch(store: BatchStore, tables: list[str] | None = None, facts: bool = True):
-    """A ``foreachBatch`` function: records and their contributions, safe to repeat."""
+    """A ``foreachBatch`` function: records and their contributions, safe to repeat.
+
+    Contributions are made from the stored facts, a few columns each; records that are not stored are kept for the time being.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
+        if facts:
+            store.put(batch, "facts", batch_id)
+        rows = store.written(batch, "facts", batch_id) if facts else batch.persist()
         try:
-            if facts:
-                store.put(rows, "facts", batch_id)
             for name, part in contributions(rows).items():
                 if tables is None or name in tables:
                     store.put(part, name, batch_id)
         finally:
-            rows.unpersist()
+            if not facts:
+                rows.unpersist()
     return run
 
 

@@ -26,6 +26,10 @@ class BatchStore:
     def put(self, frame: DataFrame, table: str, batch_id: int) -> None:
         frame.write.mode("overwrite").parquet(f"{self.path}/{table}/batch_id={batch_id}")
 
+    def written(self, frame: DataFrame, table: str, batch_id: int) -> DataFrame:
+        """The rows of ``frame`` as ``put`` stored them: readers take the columns they need instead of making all rows again."""
+        return frame.sparkSession.read.schema(frame.schema).parquet(f"{self.path}/{table}/batch_id={batch_id}")
+
     def _base(self, spark: SparkSession, table: str) -> int:
         """Number of the last batch folded into a finished base, -1 if there is none."""
         names = _names(spark, f"{self.path}/{table}_base")
