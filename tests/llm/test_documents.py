@@ -379,3 +379,41 @@ def test_substring_blocks_hold_enough_to_compress():
     blocks = list(substring_dedup._cut(20, 8)(iter([docs])))
     held = sum(b.column("text").nbytes for b in substring_dedup._unpack(iter(blocks)))
     assert 16 << 20 < held < 32 << 20 and sum(b.num_rows for b in blocks) == 16
+
+
+def test_substring_steps_hold_little_memory(spark, monkeypatch):
+    """The cutting step holds a few times its block; texts reach it a few MB at once, and the session's own limit comes back."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 2000)) for _ in range(600)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(600), pa.int64()), "text": texts})
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in substring_dedup._cut(20, 64)(iter([docs]))) == 128
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 << 20
+
+    cut, limit = substring_dedup._cut, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def watched(width, buckets):
+        own = cut(width, buckets)
+
+        def task(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 5 << 20
+                    yield batch
+            return own(small())
+        return task
+
+    monkeypatch.setattr(substring_dedup, "_cut", watched)
+    before = spark.conf.get(limit)
+    long = spark.range(0, 9000, 1, 1).selectExpr("id doc_id", "repeat('x', 1200) text")
+    assert substring_dedup.repeated_places(long).count() == 0
+    assert spark.conf.get(limit) == before

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,18 @@ def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 * PIECE) -> Iterator[None]:
+    """What runs meanwhile passes at most about ``size`` bytes between the JVM and Python at once: rows of long texts fill 64 MB otherwise."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # --------------------------------------------------------------------------------------------------------------------
 # Hashing without a Python step per word
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitmill.llm.shared import PIECE, arrow, pieces, saved, scratch, words
+from visitmill.llm.shared import PIECE, arrow, pieces, saved, scratch, small_batches, words
 
 GRAM = 4
 #: Different strings of one minimiser that a task holds at once.
@@ -31,8 +31,10 @@ MANY = 20_000
 NULL_ID = -(1 << 63)
 #: Bytes of strings that wait to be compressed together, and how hard: blocks of few strings compress badly, and they are most of the shuffle.
 BLOCK, LEVEL = 16 << 20, 6
+#: Bytes of text cut at once: numbers of each byte and word take some fifty times as much.
+STEP = PIECE // 8
 
-BLOCKS = pa.schema([("p", pa.int64()), ("block", pa.binary())])
+BLOCKS = pa.schema([("p", pa.int32()), ("block", pa.binary())])
 STRINGS = pa.schema([("mini", pa.int64()), ("text", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32())])
 FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())])
 FOUND_TYPE = "doc_id long, tag long, start int, stop int, text string"
@@ -44,35 +46,52 @@ def plain(texts: pa.Array) -> pa.Array:
 
 
 def _tag(text: str | None) -> int:
-    return xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
+    """Spark's xxhash64 of the text."""
+    return (xxhash.xxh64_intdigest((text or "").encode(), seed=42) ^ (1 << 63)) - (1 << 63)
 
 
-def _blocks(waiting: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
+def _blocks(waiting: list[tuple], squeeze) -> Iterator[pa.RecordBatch]:
     """One compressed block for each bucket: numbers of all strings, then their text."""
-    squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
-    while waiting:
-        out: dict[str, list] = {"p": [], "block": []}
-        for bucket in list(waiting)[:256]:
-            *numbers, texts = zip(*waiting.pop(bucket))
-            count = np.int64(sum(len(x) for x in numbers[0])).tobytes()
-            out["p"].append(bucket)
-            out["block"].append(squeeze(b"".join([count, *[np.concatenate(x).tobytes() for x in numbers], *texts])))
-        yield arrow(out, BLOCKS)
+    *numbers, begin, end, texts = zip(*waiting)
+    shift = np.cumsum([0, *map(len, texts)])
+    begin, end = (np.concatenate([x + at for x, at in zip(places, shift)]) for places in (begin, end))
+    bucket, *numbers = (np.concatenate(x) for x in numbers)
+    data = b"".join(texts)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.unique(bucket[order], return_index=True)[1], len(order))
+    out: dict[str, list] = {"p": [], "block": []}
+    size = 0
+    for a, b in zip(cuts, cuts[1:]):
+        own = order[a:b]
+        out["p"].append(int(bucket[own[0]]))
+        out["block"].append(squeeze(b"".join([
+            np.int64(len(own)).tobytes(), *[x[own].tobytes() for x in numbers], (end[own] - begin[own]).astype(np.int32).tobytes(),
+            *[data[s:e] for s, e in zip(begin[own].tolist(), end[own].tolist())]])))
+        size += len(out["block"][-1])
+        if size >= PIECE:
+            yield arrow(out, BLOCKS)
+            out, size = {"p": [], "block": []}, 0
+    yield arrow(out, BLOCKS)
 
 
 def _cut(width: int, buckets: int):
-    """Blocks of packed strings, one per bucket that the texts at hand touch."""
+    """Blocks of packed strings, one per bucket that the texts at hand touch. Texts wait as they are, and are cut into strings block by block."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list[tuple]] = {}
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+        waiting: list[tuple] = []
         held = 0
-        for batch in pieces(batches, size=PIECE // 2):
+        for batch in pieces(batches, size=STEP):
             found = words(plain(batch.column("text")))
             first, _ = found.windows(width)
             if not len(first):
                 continue
             _, gram = found.windows_all(GRAM)
-            view = np.lib.stride_tricks.sliding_window_view(gram, width - GRAM + 1)[first]
-            least = first + view.argmin(axis=1)
+            least, smallest = first.copy(), gram[first]
+            for k in range(1, width - GRAM + 1):
+                now = gram[first + k]
+                less = now < smallest
+                np.copyto(smallest, now, where=less)
+                np.copyto(least, first + k, where=less)
             doc = found.doc[first]
             new = np.ones(len(first), dtype=bool)
             new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
@@ -83,20 +102,14 @@ def _cut(width: int, buckets: int):
             ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)[doc[head]]
             tags = np.array([_tag(t) for t in batch.column("text").to_pylist()], dtype=np.int64)[doc[head]]
             place = (first[head] - found.bounds()[doc[head]]).astype(np.int32)
-            bucket = (mini % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.append(np.unique(bucket[order], return_index=True)[1], len(order))
-            data = found.data
-            for a, b in zip(cuts, cuts[1:]):
-                own = order[a:b]
-                packed = b"".join([data[s:e] for s, e in zip(begin[own].tolist(), end[own].tolist())])
-                waiting.setdefault(int(bucket[own[0]]), []).append(
-                    (mini[own], ids[own], tags[own], place[own], (end[own] - begin[own]).astype(np.int32), packed))
-                held += len(packed)
+            bucket = (mini % np.uint64(buckets)).astype(np.int32)
+            waiting.append((bucket, mini, ids, tags, place, begin, end, found.data))
+            held += int((end - begin).sum())
             if held >= BLOCK:
-                yield from _blocks(waiting)
-                held = 0
-        yield from _blocks(waiting)
+                yield from _blocks(waiting, squeeze)
+                waiting, held = [], 0
+        if waiting:
+            yield from _blocks(waiting, squeeze)
     return task
 
 
@@ -218,50 +231,44 @@ def repeated_places(docs: DataFrame, width: int = 20) -> DataFrame:
     """(doc_id, tag, start, stop): word ranges covered by windows that stand earlier; tag tells rows with one doc_id apart."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    strings = texts.mapInArrow(_cut(width, buckets), "p long, block binary").repartition("p").mapInArrow(
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    strings = texts.mapInArrow(_cut(width, buckets), "p int, block binary").repartitionById(buckets, "p").mapInArrow(
         _unpack, "mini long, text string, doc_id long, tag long, start int")
-    found = saved(strings.sortWithinPartitions("mini", "text", "doc_id", "start").mapInArrow(_repeats(width), FOUND_TYPE),
-                  "found", scratch(spark))
+    with small_batches(spark):
+        found = saved(strings.sortWithinPartitions("mini", "text", "doc_id", "start").mapInArrow(_repeats(width), FOUND_TYPE),
+                      "found", scratch(spark))
     return found.filter("stop >= 0").drop("text").unionByName(_grouped(found.filter("stop < 0"), width))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in pieces(batches):
-        texts = batch.column("text").to_pylist()
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("doc_id").fill_null(NULL_ID), pa.array([_tag(t) for t in texts], pa.int64()),
-            pa.array([None if t is None else squeeze(t.encode()) for t in texts], pa.binary())], ["doc_id", "id", "tag", "packed"])
+def _pack(text):
+    return None if text is None else zstandard.ZstdCompressor(level=3).compress(text.encode())
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_ = zstandard.ZstdDecompressor().decompress
-    for batch in pieces(batches, "packed", PIECE // 4):
-        kept, totals, removed = [], [], []
-        for packed, starts, stops in zip(batch.column("packed").to_pylist(), batch.column("starts"), batch.column("stops")):
-            own = plain(pa.array([open_(packed).decode() if packed is not None else ""]))[0].as_py()
-            parts = own.split(" ") if own else []
-            totals.append(len(parts))
-            if starts.is_valid:
-                change = np.zeros(len(parts) + 1, dtype=np.int64)
-                np.add.at(change, starts.values.to_numpy(), 1)
-                np.add.at(change, stops.values.to_numpy(), -1)
-                gone = np.cumsum(change[:-1]) > 0
-                own = " ".join(p for p, g in zip(parts, gone.tolist()) if not g)
-                removed.append(int(gone.sum()))
-            else:
-                removed.append(0)
-            kept.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(totals, pa.int64()),
-                                          pa.array(removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
+def _remove(packed, starts, stops):
+    """Text, its words before, and how many of them go."""
+    own = "" if packed is None else plain(pa.array([zstandard.ZstdDecompressor().decompress(packed).decode()]))[0].as_py()
+    parts = own.split(" ") if own else []
+    if not starts:
+        return own, len(parts), 0
+    change = np.zeros(len(parts) + 1, dtype=np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, stops, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    return " ".join(p for p, g in zip(parts, gone.tolist()) if not g), len(parts), int(gone.sum())
 
 
 def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
-    """One row per input row: doc_id, text (the words that stay, joined by one blank), n_words before, n_removed."""
+    """One row per input row: doc_id, text (the words that stay, joined by one blank), n_words before, n_removed.
+
+    Texts are packed and cleaned row by row: plain UDFs get a hundred rows at once, Arrow batches would hold 64 MB of text on both sides.
+    """
     places = (repeated_places(docs, width).groupBy("doc_id", "tag")
               .agg(F.collect_list(F.struct("start", "stop")).alias("r"))
               .select(F.col("doc_id").alias("id"), "tag", F.col("r.start").alias("starts"), F.col("r.stop").alias("stops")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return (texts.mapInArrow(_pack, "doc_id long, id long, tag long, packed binary").join(places, ["id", "tag"], "left")
-            .mapInArrow(_remove, "doc_id long, text string, n_words long, n_removed long"))
+    pack = F.udf(_pack, "binary", useArrow=False)
+    remove = F.udf(_remove, "text string, n_words long, n_removed long", useArrow=False)
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    packed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("id"),
+                         F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), pack(text).alias("packed"))
+    return (packed.join(places, ["id", "tag"], "left").select("doc_id", remove("packed", "starts", "stops").alias("r"))
+            .select("doc_id", "r.text", "r.n_words", "r.n_removed"))
